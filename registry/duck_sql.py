@@ -37,14 +37,15 @@ def all_r8(*names: str) -> str:
 # --- feeds ----------------------------------------------------------------------------
 
 BAR_COLUMNS = """
-        arg_min(px, o) AS op, max(px) AS hi, min(px) AS lo, arg_max(px, o) AS cl,
-        arg_max(px * (1.0::DOUBLE - disc), o) AS adj, sum(qty) AS vol"""
+        arg_min(cents, (day, cents)) / 100.0::DOUBLE AS op, max(cents) / 100.0::DOUBLE AS hi,
+        min(cents) / 100.0::DOUBLE AS lo, arg_max(cents, (day, cents)) / 100.0::DOUBLE AS cl,
+        arg_max(adjusted, (day, adjusted)) / 100.0::DOUBLE AS adj, sum(qty) AS vol"""
 
 LINES = """
-    SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS d,
-           l_extendedprice / l_quantity AS px, l_discount AS disc, l_quantity AS qty,
-           row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity,
-               l_discount, l_tax) AS o
+    SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS d, CAST(l_shipdate AS DATE) AS day,
+           CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT) AS cents,
+           CAST(floor(l_extendedprice / l_quantity * (1 - l_discount) * 100 + 0.5) AS BIGINT) AS adjusted,
+           l_quantity AS qty
     FROM lineitem"""
 
 BARS = f"""
@@ -354,8 +355,7 @@ FROM (SELECT DISTINCT d FROM quotes)""",
     ),
     "dense_grid": query(
         f"{CLEAN}, {GRID}",
-        f"""SELECT {KEYS}, {QUOTES}, inserted AS "Inserted",
-    CAST(dense_rank() OVER (ORDER BY d) AS INTEGER) AS "Session" FROM dense""",
+        f'SELECT {KEYS}, {QUOTES}, inserted AS "Inserted" FROM dense',
     ),
     "quote_validity": query(
         f"{DIRTY}, {GRID}, {CHECKED}",

@@ -13,6 +13,8 @@ from sessiongrid.schema import QUOTE_COLUMNS, RAW_COLUMNS, quoted
 
 TRAIN_END = "2000-09-30"
 VALIDATION_END = "2001-03-31"
+# More than any price in cents.
+_DAY = 10**10
 # Fixed value: the nation table has 25 rows at every scale factor.
 NATIONS = [f"NATION_{i}" for i in range(25)]
 
@@ -22,25 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _bars_by(lines: DataFrame, *keys: str) -> DataFrame:
-    # Order and line number repeat, so the order of lines uses every column.
-    order = F.struct(
-        "l_shipdate",
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        "l_extendedprice",
-        "l_quantity",
-        "l_discount",
-        "l_tax",
-    )
+    """Monthly bars of unit prices in cents.
+
+    The open is the lowest price of the first day with a line, the close the highest of the
+    last day. Day and price share one integer, so that plain minima and maxima find them
+    and the aggregation stays a hash aggregation.
+    """
     px = F.col("l_extendedprice") / F.col("l_quantity")
-    month = F.trunc(F.col("l_shipdate").cast("date"), "MM")
-    return lines.groupBy(*keys, month.alias("Date")).agg(
-        F.min_by(px, order).alias("Open"),
-        F.max(px).alias("High"),
-        F.min(px).alias("Low"),
-        F.max_by(px, order).alias("Close"),
-        F.max_by(px * (F.lit(1.0) - F.col("l_discount")), order).alias("Adj Close"),
+    adjusted = px * (F.lit(1.0) - F.col("l_discount"))
+    shipped = F.col("l_shipdate").cast("date")
+    cents, adjusted_cents = (F.floor(price * 100.0 + 0.5) for price in (px, adjusted))
+    day = F.unix_date(shipped).cast("long") * _DAY
+
+    def price(packed):
+        return packed % _DAY / F.lit(100.0)
+
+    return lines.groupBy(*keys, F.trunc(shipped, "MM").alias("Date")).agg(
+        price(F.min(day + cents)).alias("Open"),
+        price(F.max(cents)).alias("High"),
+        price(F.min(cents)).alias("Low"),
+        price(F.max(day + cents)).alias("Close"),
+        price(F.max(day + adjusted_cents)).alias("Adj Close"),
         F.sum("l_quantity").alias("Volume"),
     )
 

@@ -169,7 +169,7 @@ def calendar(spark, sf):
 
 def dense_grid(spark, sf):
     return densify(_quotes(spark, sf)).select(
-        "Ticker", "Date", *[quoted(name) for name in QUOTE_COLUMNS], "Inserted", "Session"
+        "Ticker", "Date", *[quoted(name) for name in QUOTE_COLUMNS], "Inserted"
     )
 
 

@@ -65,7 +65,7 @@ def to_session_date(c: Column, dtype: T.DataType, fmt: str | None = None) -> Col
 def normalize_ticker(c: Column, upper: bool = True) -> Column:
     """Trim all white space, use dashes for dots and, by default, upper case."""
     text = F.trim(c.cast("string"), F.lit(WHITESPACE))
-    return F.translate(F.upper(text) if upper else text, ".", "-")
+    return F.replace(F.upper(text) if upper else text, F.lit("."), F.lit("-"))
 
 
 def finite(c: Column) -> Column:

@@ -10,11 +10,10 @@ from sessiongrid.schema import quoted
 SLOTS = 64
 
 
-def add_daily_rank(df: DataFrame, value: str, out: str, *, pct: bool = True) -> DataFrame:
-    """Add the ascending rank of ``value`` among the known values of its ``Date``.
+def daily_ranks(df: DataFrame, value: str, out: str, *, pct: bool = True) -> DataFrame:
+    """(Date, value, rank): the ascending rank of every known value among those of its ``Date``.
 
-    Ties share their average rank; ``pct`` divides by the number of known values. A missing
-    value has no rank. ``Date`` must be a session date as made by ``to_session_date``.
+    Ties share their average rank; ``pct`` divides by the number of known values. ``Date`` must be a session date as made by ``to_session_date``.
 
     A session may hold any number of stocks, and a large part of them may share one value
     (unchanged prices all return 0). So no window is ever partitioned by ``Date`` alone:
@@ -62,14 +61,17 @@ def add_daily_rank(df: DataFrame, value: str, out: str, *, pct: bool = True) ->
     rank = (
         F.col("_before") + F.coalesce(F.col("_below"), F.lit(0)) + (F.col("_ties") + F.lit(1.0)) / F.lit(2.0)
     )
-    ranks = (
+    return (
         ranged.withColumn("_below", F.sum("_ties").over(below))
         .join(starts, ["Date", "_range"])
         .select("Date", F.col("_value").alias(value), (rank / F.col("_known") if pct else rank).alias(out))
     )
 
+
+def add_daily_rank(df: DataFrame, value: str, out: str, *, pct: bool = True) -> DataFrame:
+    """Add the rank of ``value`` from ``daily_ranks``; a missing value has none."""
     columns = [name for name in df.columns if name != out]
     kept = df.select(*[quoted(name) for name in columns])
     # The rank side has one row per value, so a value shared by many rows skews only the
     # left side, which adaptive execution splits.
-    return kept.join(ranks, ["Date", value], "left").select(*[quoted(name) for name in columns], quoted(out))
+    return kept.join(daily_ranks(df, value, out, pct=pct), ["Date", value], "left").select(*[quoted(name) for name in columns], quoted(out))

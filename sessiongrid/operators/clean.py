@@ -24,7 +24,8 @@ def normalize_quotes(raw: DataFrame, *, date_format: str | None = None) -> DataF
 
 def drop_invalid_keys(quotes: DataFrame) -> DataFrame:
     """Rows that have a date and a non-blank ticker."""
-    return quotes.filter(F.col("Date").isNotNull() & F.col("Ticker").isNotNull() & (F.col("Ticker") != ""))
+    # A missing ticker fails the comparison as well.
+    return quotes.filter(F.col("Date").isNotNull() & (F.col("Ticker") != ""))
 
 
 def dedupe_quotes(quotes: DataFrame) -> DataFrame:

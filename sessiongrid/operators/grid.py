@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessiongrid.operators.clean import CONFLICT
-from sessiongrid.schema import QUOTE_COLUMNS, quoted
+from sessiongrid.schema import QUOTE_COLUMNS, RAW_COLUMNS, quoted
 
 
 def session_calendar(quotes: DataFrame) -> DataFrame:
@@ -32,19 +32,21 @@ def session_calendar(quotes: DataFrame) -> DataFrame:
 def densify(quotes: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """Every ticker at every session, with missing quotes where it has no row.
 
-    Adds ``Session`` and ``Inserted``. There is no ticker-by-date product and no join against one: each
-    quote emits itself and the gap up to the ticker's next quote. The calendar is the only
-    other input and is bounded, so both uses of it are broadcast. After the one shuffle by
-    ticker, a ticker has at most one row per session, so no ticker can be a hot key.
+    Adds ``Inserted``. There is no ticker-by-date product and no join against one: each quote
+    emits itself and the gap up to the ticker's next quote. The calendar is the only other
+    input; it is bounded, so it is broadcast to number the sessions and serves as one array
+    of dates to cut the gaps from. After the one shuffle by ticker, a ticker has at most one
+    row per session, so no ticker can be a hot key.
 
     Two quotes at one session are a conflict and fail the job.
     """
     if calendar is None:
         calendar = session_calendar(quotes)
-    by_ticker = Window.partitionBy("Ticker").orderBy("Session")
+    by_ticker = Window.partitionBy("Ticker").orderBy("Date")
+    dates = calendar.agg(F.array_sort(F.collect_list("Date"))).scalar()
     here, following = F.col("Session"), F.col("_following")
     start = F.when(F.col("_first"), F.lit(1)).otherwise(here)
-    gap = F.sequence(start, F.coalesce(following - 1, F.col("LastSession")))
+    gap = F.slice(dates, start, F.coalesce(following, F.col("LastSession") + 1) - start)
     conflict = F.raise_error(F.concat_ws(" ", F.lit(CONFLICT + ":"), F.col("Date").cast("string"), F.col("Ticker")))
 
     filled = (
@@ -57,19 +59,11 @@ def densify(quotes: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
         )
         .withColumn("_at", F.explode(F.when(following == here, conflict).otherwise(gap)))
     )
-    own = F.col("_at") == here
-    carried = [name for name in quotes.columns if name not in ("Date", "Ticker")]
-    dense = filled.select(
+    own = F.col("_at") == F.col("Date")
+    others = [name for name in quotes.columns if name not in RAW_COLUMNS]
+    return filled.select(
         "Ticker",
-        F.col("_at").alias("Session"),
-        *[F.when(own, F.col(quoted(name))).alias(name) for name in carried],
+        F.col("_at").alias("Date"),
+        *[F.when(own, F.col(quoted(name))).alias(name) for name in [*QUOTE_COLUMNS, *others]],
         (~own).alias("Inserted"),
     )
-    return dense.join(F.broadcast(calendar.select("Session", "Date")), "Session").select(
-        "Ticker",
-        "Date",
-        *[quoted(name) for name in QUOTE_COLUMNS],
-        *[quoted(name) for name in carried if name not in QUOTE_COLUMNS],
-        "Inserted",
-        "Session",
-    )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessiongrid.functions.ranks import add_daily_rank
+from sessiongrid.functions.ranks import daily_ranks
+from sessiongrid.sources.storage import stage
 
 
 def submission_issues(predictions: DataFrame, eligible: DataFrame) -> DataFrame:
@@ -47,13 +48,18 @@ def daily_spearman(predictions: DataFrame, dataset: DataFrame) -> DataFrame:
 
     The score is the correlation of average ranks; it is NULL where it is undefined, as for
     equal predictions. Plain ``corr`` would raise on those days.
+
+    The matched pairs are written to the shared scratch folder by a job of their own, as
+    both rankings read them several times.
     """
     known = dataset.select("Date", "Ticker", "target").filter("target IS NOT NULL")
     pairs = predictions.filter("prediction IS NOT NULL").select("Date", "Ticker", "prediction").join(
         known, ["Date", "Ticker"]
     )
-    ranked = add_daily_rank(pairs, "prediction", "_predicted", pct=False)
-    ranked = add_daily_rank(ranked, "target", "_realised", pct=False)
+    pairs = stage(pairs, "pairs")
+    predicted = daily_ranks(pairs, "prediction", "_predicted", pct=False)
+    realised = daily_ranks(pairs, "target", "_realised", pct=False)
+    ranked = pairs.join(predicted, ["Date", "prediction"]).join(realised, ["Date", "target"])
     spread = F.stddev_pop("_predicted") * F.stddev_pop("_realised")
     return ranked.groupBy("Date").agg(
         F.count("*").alias("n"),
