@@ -110,14 +110,14 @@ def bars_ohlcv(spark, sf):
 
 
 def normalize_keys(spark, sf):
-    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    day = F.col("l_shipdate").cast("date").cast("string")
     kind = F.col("l_orderkey") % 7
     text = (
         F.when(kind == 0, day)
         .when(kind == 1, F.concat(day, F.lit(" 13:45:00")))
         .when(kind == 2, F.concat(day, F.lit("T23:30:00-05:00")))
         .when(kind == 3, "not-a-date")
-        .when(kind == 4, F.date_format("l_shipdate", "yyyy"))
+        .when(kind == 4, F.substring(day, 1, 4))
         .when(kind == 5, F.concat(F.lit("  "), day))
     )
     number, form = F.col("l_suppkey").cast("string"), F.col("l_linenumber") % 5

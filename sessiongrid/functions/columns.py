@@ -23,18 +23,16 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 # Year-month-day must lead, because a bare "2024" or "12:30" would also cast to a timestamp.
-_DATE_START = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+# Only years from 1678 to 2261 are accepted, see FIRST_DATE.
+_DATE_START = r"^\s*(167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])-\d{1,2}-\d{1,2}"
 _HAS_OFFSET = r":\d{2}(\.\d+)?\s*(Z|[+-]\d{1,2}(:?\d{2})?)\s*$"
 # Spark reads a Java type suffix ("1.5d") as part of a number.
 _NUMBER_SUFFIX = r"[dDfF]\s*$"
-_MICROS_PER_DAY = 86_400_000_000
 
 
 def _utc_date(instant: Column) -> Column:
     # Counted from the epoch, so the session time zone does not matter.
-    micros = F.unix_micros(instant)
-    start = micros - F.pmod(micros, F.lit(_MICROS_PER_DAY))
-    return F.date_from_unix_date((start / F.lit(_MICROS_PER_DAY)).cast("int"))
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / F.lit(86400.0)).cast("int"))
 
 
 def to_session_date(c: Column, dtype: T.DataType, fmt: str | None = None) -> Column:
@@ -43,20 +41,21 @@ def to_session_date(c: Column, dtype: T.DataType, fmt: str | None = None) -> Col
     Text is read as ISO, row by row, unless ``fmt`` gives another pattern. Text without an
     offset is taken as UTC.
     """
-    if isinstance(dtype, T.DateType):
+    if isinstance(dtype, T.StringType) and fmt is None:
+        # The pattern keeps the date in range, so the text is parsed only once.
+        text = F.when(c.rlike(_DATE_START), c)
+        has_offset = (F.length(c) > 16) & c.rlike(_HAS_OFFSET)
+        return F.when(has_offset, _utc_date(text.try_cast("timestamp"))).otherwise(
+            text.try_cast("timestamp_ntz").cast("date")
+        )
+    if isinstance(dtype, T.StringType):
+        day = F.try_to_date(c, fmt)
+    elif isinstance(dtype, T.DateType):
         day = c
     elif isinstance(dtype, T.TimestampNTZType):
         day = c.cast("date")
     elif isinstance(dtype, T.TimestampType):
         day = _utc_date(c)
-    elif isinstance(dtype, T.StringType):
-        if fmt is not None:
-            day = F.try_to_date(c, fmt)
-        else:
-            text = F.when(c.rlike(_DATE_START), c)
-            day = F.when(c.rlike(_HAS_OFFSET), _utc_date(text.try_cast("timestamp"))).otherwise(
-                text.try_cast("timestamp_ntz").cast("date")
-            )
     else:
         raise ValueError(f"Cannot read dates from a column of type {dtype.simpleString()}")
     return F.when(day.between(F.lit(FIRST_DATE).cast("date"), F.lit(LAST_DATE).cast("date")), day)

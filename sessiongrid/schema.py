@@ -50,11 +50,11 @@ PANEL_COLUMNS = [
     "target",
 ]
 
-# Dates outside this range are missing, as in any nanosecond calendar. The range also
-# bounds every per-session table (see MAX_SESSIONS), which is what makes it safe to broadcast.
-FIRST_DATE = "1677-09-22"
-LAST_DATE = "2262-04-11"
-MAX_SESSIONS = 213_503
+# Dates outside the whole years of a nanosecond calendar are missing. The range also bounds
+# every per-session table (see MAX_SESSIONS), which is what makes it safe to broadcast.
+FIRST_DATE = "1678-01-01"
+LAST_DATE = "2261-12-31"
+MAX_SESSIONS = 213_305
 
 MODEL_SCHEMA = T.StructType(
     [
