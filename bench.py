@@ -20,7 +20,6 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 HEADLINE = [
     "bars_ohlcv",
-    "normalize_keys",
     "dedupe_quotes",
     "dense_grid",
     "audit_counts",

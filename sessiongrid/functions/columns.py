@@ -72,15 +72,18 @@ def finite(c: Column) -> Column:
     return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
+def to_double(c: Column, dtype: T.DataType) -> Column:
+    """A double, possibly not finite; NULL when the value is not a number."""
+    if isinstance(dtype, T.StringType):
+        return F.when(~c.rlike(_NUMBER_SUFFIX), c).try_cast("double")
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return c.cast("double")
+    raise ValueError(f"Cannot read numbers from a column of type {dtype.simpleString()}")
+
+
 def to_finite_double(c: Column, dtype: T.DataType) -> Column:
     """A finite double, or NULL when the value is not a number."""
-    if isinstance(dtype, T.StringType):
-        number = F.when(~c.rlike(_NUMBER_SUFFIX), c).try_cast("double")
-    elif isinstance(dtype, (T.NumericType, T.BooleanType)):
-        number = c.cast("double")
-    else:
-        raise ValueError(f"Cannot read numbers from a column of type {dtype.simpleString()}")
-    return finite(number)
+    return finite(to_double(c, dtype))
 
 
 def any_null(names: Sequence[str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessiongrid.functions.columns import normalize_ticker, to_finite_double, to_session_date
+from sessiongrid.functions.columns import finite, normalize_ticker, to_double, to_session_date
 from sessiongrid.schema import QUOTE_COLUMNS, RAW_COLUMNS, quoted, require_columns
 
 CONFLICT = "Conflicting quotes for one date and ticker"
@@ -15,11 +15,13 @@ def normalize_quotes(raw: DataFrame, *, date_format: str | None = None) -> DataF
     """Required columns only, with typed keys and finite numbers."""
     raw = require_columns(raw, RAW_COLUMNS)
     types = {field.name: field.dataType for field in raw.schema}
-    return raw.select(
+    typed = raw.select(
         to_session_date(F.col("Date"), types["Date"], date_format).alias("Date"),
         normalize_ticker(F.col("Ticker")).alias("Ticker"),
-        *[to_finite_double(F.col(quoted(name)), types[name]).alias(name) for name in QUOTE_COLUMNS],
+        *[to_double(F.col(quoted(name)), types[name]).alias(name) for name in QUOTE_COLUMNS],
     )
+    # A projection of its own, so that text is parsed once although the check uses it twice.
+    return typed.select("Date", "Ticker", *[finite(F.col(quoted(name))).alias(name) for name in QUOTE_COLUMNS])
 
 
 def drop_invalid_keys(quotes: DataFrame) -> DataFrame:
