@@ -43,8 +43,8 @@ def build_shared_table(
     """Build the model table under ``out`` and return it with its panel and reports.
 
     ``prices`` are long quotes, ``details`` the expected tickers with their details. Three
-    tables are written, each read back by what follows, so that no stage is computed twice:
-    the distinct quotes, the panel with its reason flags, and the model table.
+    tables are written, each read back by what follows: the distinct quotes, the panel with
+    its reason flags, and the model table.
     """
     raw = conform_tickers(prices, details)
     check_raw_prices(raw, settings.start, settings.end)
