@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from sessiongrid.llm.common import ordered_index, read_table, word_count
 from sessiongrid.llm.exact_dedup import exact_dedup
+from sessiongrid.llm.langid import held_out, identify, train
 from sessiongrid.llm.mixing import mix_sources, source_sizes, water_fill
 from sessiongrid.llm.packing import pack
 from sessiongrid.llm.shards import shuffle_shards
-from sessiongrid.sources.storage import stage
+from sessiongrid.llm.token_store import read_tokens, write_tokens
+from sessiongrid.sources.storage import scratch_path, stage
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -34,6 +36,14 @@ def weighted_sources(docs: DataFrame) -> DataFrame:
     return water_fill(sources.withColumn("weight", weights), 1.5 * total, 2.0)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    known = F.col("doc_id").isNotNull() & ~held_out()
+    model = train(docs.filter(known).select("doc_id", "text", "lang"))
+    found = identify(docs.select("doc_id", "text", held_out().alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op5_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = read_table(spark, sf_dir, "documents").select(
@@ -53,11 +63,22 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sized(read_table(spark, sf_dir, "documents")))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "tokens")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    write_tokens(docs, path, public_tokenizers.path(vocabulary), end_id=1)
+    return read_tokens(spark, path, with_ids=False)
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op4_language_id": op4_language_id,
     "op5_shuffle_shards": op5_shuffle_shards,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pack": op8_pack,
+    "op10_token_store": op10_token_store,
 }
 
 ORACLES = {
