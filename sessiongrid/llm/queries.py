@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessiongrid.llm.ann import nearest
 from sessiongrid.llm.common import ordered_index, read_table, word_count
 from sessiongrid.llm.exact_dedup import exact_dedup
+from sessiongrid.llm.html_text import extract_text
 from sessiongrid.llm.langid import held_out, identify, train
 from sessiongrid.llm.mixing import mix_sources, source_sizes, water_fill
 from sessiongrid.llm.packing import pack
@@ -20,6 +22,11 @@ def sized(docs: DataFrame) -> DataFrame:
     return stage(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sized(read_table(spark, sf_dir, "documents"))
     mixed = mix_sources(docs, weighted_sources(docs))
@@ -32,8 +39,9 @@ def weighted_sources(docs: DataFrame) -> DataFrame:
     """Targets of the registered mix: weights 3, 1, 2 in turn, 150 % of all words, 2 epochs at most."""
     sources = ordered_index(source_sizes(docs), F.col("source").asc_nulls_last())
     weights = F.element_at(F.array(F.lit(3), F.lit(1), F.lit(2)), (F.col("index") % 3 + 1).cast("int"))
+    sources = stage(sources.withColumn("weight", weights).drop("index"), "weights")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
-    return water_fill(sources.withColumn("weight", weights), 1.5 * total, 2.0)
+    return water_fill(sources, 1.5 * total, 2.0)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +62,11 @@ def op5_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_text(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(read_table(spark, sf_dir, "documents"), hash_singles=True)
     return found.withColumnRenamed("full_hash", "text_sha256")
@@ -73,9 +86,11 @@ def op10_token_store(spark: SparkSession, sf_dir: str, vocabulary: str = "word_b
 
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_mix_sources": op2_mix_sources,
     "op4_language_id": op4_language_id,
     "op5_shuffle_shards": op5_shuffle_shards,
+    "op6_html_text": op6_html_text,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pack": op8_pack,
     "op10_token_store": op10_token_store,
