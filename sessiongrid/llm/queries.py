@@ -9,6 +9,7 @@ from sessiongrid.llm.ann import nearest
 from sessiongrid.llm.common import ordered_index, read_table, word_count
 from sessiongrid.llm.exact_dedup import exact_dedup
 from sessiongrid.llm.html_text import extract_text
+from sessiongrid.llm.jaccard_join import jaccard_components
 from sessiongrid.llm.langid import held_out, identify, train
 from sessiongrid.llm.mixing import mix_sources, source_sizes, water_fill
 from sessiongrid.llm.packing import pack
@@ -44,6 +45,10 @@ def weighted_sources(docs: DataFrame) -> DataFrame:
     return water_fill(sources, 1.5 * total, 2.0)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     known = F.col("doc_id").isNotNull() & ~held_out()
@@ -88,6 +93,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str, vocabulary: str = "word_b
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_mix_sources": op2_mix_sources,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_language_id": op4_language_id,
     "op5_shuffle_shards": op5_shuffle_shards,
     "op6_html_text": op6_html_text,
