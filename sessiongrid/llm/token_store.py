@@ -13,10 +13,12 @@ Ids are little-endian, two bytes wide if the vocabulary allows it and four other
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ SAMPLE_IDS = 4096  # of each sampled document, for the dictionary only
 DICTIONARY_BYTES = 64 << 10
 BLOCK_DOCS = 256
 BLOCK_BYTES = 1 << 20
-CACHE = 300_000  # encoded words that a task remembers
+CACHE = 700_000  # encoded words, and pieces of words, that a worker remembers
 
 BLOCK_SCHEMA = (
     "part int, first long, n_ids long, doc_ids array<{id}>, counts array<int>, offsets array<int>, "
@@ -59,7 +61,12 @@ class Encoder:
         largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.width = width or (2 if max(largest, end_id or 0) < 1 << 16 else 4)
         self.end = b"" if end_id is None else int(end_id).to_bytes(self.width, "little")
-        self.seen: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closing = np.zeros(largest + 1, dtype=bool)
+        if suffix:
+            self.closing[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.seen: dict[str, bytes] = {}  # words
+        self.known: dict[str, bytes] = {}  # pieces of plain words
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
 
     def _splits_by_words(self) -> bool:
@@ -69,26 +76,71 @@ class Encoder:
         parts = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in _PIECE.findall(probe.lower())]
         return whole == [i for p in parts for i in p]
 
-    def _split(self, text: str) -> list[str]:
-        if not self.pieces:
-            return [text]
-        if _PLAIN.fullmatch(text) and not self.special.search(text):
-            return _PIECE.findall(text.lower())
-        return _BLANK.split(text)
+    def _pieces(self, new: set[str]) -> None:
+        """Encode plain words not seen before by their pieces, each of which is encoded once."""
+        split = {w: _PIECE.findall(w) for w in new}
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        todo = list({p for parts in split.values() for p in parts} - known.keys())
+        kind = f"<u{self.width}"
+        for lo in range(0, len(todo), 2000):
+            part = todo[lo : lo + 2000]
+            # Many at a time, told apart by the tokens that end a piece.
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=kind)
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(part):
+                found = [ids[a:b].tobytes() for a, b in itertools.pairwise([0, *ends.tolist()])]
+            else:
+                found = [np.array(x.ids, dtype=kind).tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            known.update(zip(part, found, strict=True))
+        for word, parts in split.items():
+            self.seen[word] = b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Serialized ids of each text, end id included; a null is an empty text."""
-        split = [self._split(t) if t else [] for t in texts]
-        if len(self.seen) > CACHE:
+        words: list[str] = []
+        counts: list[int] = []
+        for text in texts:
+            if not text:
+                own = []
+            elif self.pieces and _PLAIN.fullmatch(text) and not self.special.search(text):
+                own = text.lower().split()
+            else:
+                # Marked, as a word of such a text means the same as a plain one only after lowering.
+                own = ["\0" + w for w in (_BLANK.split(text) if self.pieces else [text])]
+            words += own
+            counts.append(len(own))
+        if not words:
+            return [self.end] * len(texts)
+        codes, unique = pd.factorize(np.array(words, dtype=object))
+        missing = set(unique) - self.seen.keys()
+        if len(self.seen) + len(missing) > CACHE:
             self.seen.clear()
-        new = list({p for parts in split for p in parts if p not in self.seen})
+            missing = set(unique)
+        other = [w for w in missing if w[0] == "\0"]
         kind = f"<u{self.width}"
-        for lo in range(0, len(new), 5000):
-            part = new[lo : lo + 5000]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[piece] = np.array(got.ids, dtype=kind).tobytes()
-        seen = self.seen
-        return [b"".join([seen[p] for p in parts]) + self.end for parts in split]
+        if other:
+            for word, got in zip(other, self.tokenizer.encode_batch_fast([w[1:] for w in other], add_special_tokens=False), strict=True):
+                self.seen[word] = np.array(got.ids, dtype=kind).tobytes()
+            missing.difference_update(other)
+        if missing:
+            self._pieces(missing)
+        serial = [self.seen[w] for w in unique]
+        ids = np.frombuffer(b"".join(serial), dtype=kind)
+        size = np.array([len(x) for x in serial]) // self.width
+        start = np.cumsum(size) - size
+        each = size[codes]
+        ends = np.cumsum(each)
+        flat = ids[np.repeat(start[codes] - (ends - each), each) + np.arange(ends[-1])].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])] * self.width
+        return [flat[lo:hi] + self.end for lo, hi in itertools.pairwise(cuts.tolist())]
+
+
+@lru_cache(maxsize=2)
+def encoder_for(path: str, end_id: int | None) -> Encoder:
+    """One encoder for all tasks of a worker process, which keeps what it has seen."""
+    return Encoder(path, end_id)
 
 
 def train_dictionary(docs: DataFrame, text_col: str, id_col: str, tokenizer: str, end_id: int | None) -> bytes:
@@ -101,7 +153,7 @@ def train_dictionary(docs: DataFrame, text_col: str, id_col: str, tokenizer: str
     def serialize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer, end_id)
+            encoder = encoder or encoder_for(tokenizer, end_id)
             yield pd.DataFrame({"ids": [x[: SAMPLE_IDS * encoder.width] for x in encoder.encode(batch["text"].tolist())]})
 
     samples = sorted(r[0] for r in taken.mapInPandas(serialize, "ids binary").limit(4 * SAMPLE_DOCS).collect())
@@ -152,15 +204,15 @@ def write_tokens(
 
         for batch in batches:
             if encoder is None:
-                encoder = Encoder(tokenizer, end_id)
+                encoder = encoder_for(tokenizer, end_id)
                 press = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
                 schema = pa.schema(
                     [("part", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(batch.schema.field(0).type)),
                      ("counts", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int32())), ("frames", pa.binary()), ("width", pa.int32()),
                      ("dictionary", pa.string())]
                 )
-            for lo in range(0, batch.num_rows, 500):
-                own = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 1000):
+                own = batch.slice(lo, 1000)
                 for doc, raw in zip(own.column(0).to_pylist(), encoder.encode(own.column(1).to_pylist()), strict=True):
                     ids.append(doc)
                     counts.append(len(raw) // encoder.width)
