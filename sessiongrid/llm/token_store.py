@@ -97,33 +97,33 @@ class Encoder:
         for word, parts in split.items():
             self.seen[word] = b"".join([known[p] for p in parts])
 
+    def _apart(self, text: str) -> bytes:
+        """Any other text, word by word as it stands."""
+        words = _BLANK.split(text) if self.pieces else [text]
+        kind = f"<u{self.width}"
+        return b"".join(np.array(x.ids, dtype=kind).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Serialized ids of each text, end id included; a null is an empty text."""
         words: list[str] = []
         counts: list[int] = []
-        for text in texts:
-            if not text:
-                own = []
-            elif self.pieces and _PLAIN.fullmatch(text) and not self.special.search(text):
+        apart: dict[int, bytes] = {}
+        for i, text in enumerate(texts):
+            own = []
+            if text and self.pieces and _PLAIN.fullmatch(text) and not self.special.search(text):
                 own = text.lower().split()
-            else:
-                # Marked, as a word of such a text means the same as a plain one only after lowering.
-                own = ["\0" + w for w in (_BLANK.split(text) if self.pieces else [text])]
+            elif text:
+                apart[i] = self._apart(text)
             words += own
             counts.append(len(own))
         if not words:
-            return [self.end] * len(texts)
+            return [apart.get(i, b"") + self.end for i in range(len(texts))]
+        kind = f"<u{self.width}"
         codes, unique = pd.factorize(np.array(words, dtype=object))
         missing = set(unique) - self.seen.keys()
         if len(self.seen) + len(missing) > CACHE:
             self.seen.clear()
             missing = set(unique)
-        other = [w for w in missing if w[0] == "\0"]
-        kind = f"<u{self.width}"
-        if other:
-            for word, got in zip(other, self.tokenizer.encode_batch_fast([w[1:] for w in other], add_special_tokens=False), strict=True):
-                self.seen[word] = np.array(got.ids, dtype=kind).tobytes()
-            missing.difference_update(other)
         if missing:
             self._pieces(missing)
         serial = [self.seen[w] for w in unique]
@@ -134,7 +134,7 @@ class Encoder:
         ends = np.cumsum(each)
         flat = ids[np.repeat(start[codes] - (ends - each), each) + np.arange(ends[-1])].tobytes()
         cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])] * self.width
-        return [flat[lo:hi] + self.end for lo, hi in itertools.pairwise(cuts.tolist())]
+        return [apart.get(i, flat[lo:hi]) + self.end for i, (lo, hi) in enumerate(itertools.pairwise(cuts.tolist()))]
 
 
 @lru_cache(maxsize=2)
