@@ -53,19 +53,19 @@ def flag(rows: DataFrame, columns: list[str], bitmap: DataFrame, name: str, bits
     )
 
 
-def keep_rows(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows whose non-null ``column`` occurs in ``ids``; others are mostly dropped before the shuffle."""
-    ids = ids.select(column).distinct()
-    near = flag(rows, [column], key_bitmap(ids, [column]), "_near").filter("_near").drop("_near")
-    return near.join(ids, column, "left_semi")
+def keep_rows(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose non-null ``column`` occurs in ``keys``; others are mostly dropped before the shuffle."""
+    keys = keys.select(column).distinct()
+    near = flag(rows, [column], key_bitmap(keys, [column]), "_near").filter("_near").drop("_near")
+    return near.join(keys, column, "left_semi")
 
 
-def drop_rows(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` does not occur in ``ids``; most of them stay where they are."""
-    ids = ids.select(column).distinct()
-    marked = flag(rows, [column], key_bitmap(ids, [column]), "_near")
+def drop_rows(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` does not occur in ``keys``; most of them stay where they are."""
+    keys = keys.select(column).distinct()
+    marked = flag(rows, [column], key_bitmap(keys, [column]), "_near")
     far = marked.filter(~F.col("_near")).drop("_near")
-    near = marked.filter("_near").drop("_near").join(ids, column, "left_anti")
+    near = marked.filter("_near").drop("_near").join(keys, column, "left_anti")
     return far.unionByName(near)
 
 

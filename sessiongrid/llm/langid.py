@@ -262,6 +262,19 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
     return docs.mapInArrow(predict, schema)
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
+    """``docs`` without the rows whose text has no language (null, or no letter); columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    width = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = label_texts(shared.value, batch.column(width).to_pylist(), penalty, spans=False)[0]
+            yield batch.filter(pa.array([lang != UNKNOWN for lang in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The registered fold: crc32 of the id as text leaves 1 when divided by 3; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))

@@ -112,3 +112,16 @@ def mix_sources(
 def source_sizes(docs: DataFrame, source_col: str = "source", size_col: str = "size") -> DataFrame:
     """Size of every source, written once: the rounds of ``water_fill`` read only this table."""
     return stage(docs.groupBy(source_col).agg(F.sum(size_col).alias("source_size")), "sources")
+
+
+def repeat_rows(docs: DataFrame, copies: DataFrame, key: list[str], count_col: str = "copies") -> DataFrame:
+    """``docs``, each row as often as ``copies`` says for its ``key`` (nulls equal each other)."""
+    names = {c: f"_key_{i}" for i, c in enumerate(key)}
+    counts = copies.groupBy(*key).agg(F.max(count_col).cast("int").alias("_copies")).filter("_copies > 0")
+    counts = counts.select("_copies", *(F.col(c).alias(n) for c, n in names.items()))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    return (
+        docs.join(counts, same)
+        .withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .drop("_turn", "_copies", *names.values())
+    )

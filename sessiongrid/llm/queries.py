@@ -14,6 +14,7 @@ from sessiongrid.llm.langid import held_out, identify, train
 from sessiongrid.llm.mixing import mix_sources, source_sizes, water_fill
 from sessiongrid.llm.packing import pack
 from sessiongrid.llm.shards import shuffle_shards
+from sessiongrid.llm.suffix_dedup import remove_repeats
 from sessiongrid.llm.token_store import read_tokens, write_tokens
 from sessiongrid.sources.storage import scratch_path, stage
 
@@ -81,6 +82,16 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sized(read_table(spark, sf_dir, "documents")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     import public_tokenizers
 
@@ -99,6 +110,7 @@ QUERIES = {
     "op6_html_text": op6_html_text,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pack": op8_pack,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_store": op10_token_store,
 }
 
