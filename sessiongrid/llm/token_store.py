@@ -149,6 +149,7 @@ def train_dictionary(docs: DataFrame, text_col: str, id_col: str, tokenizer: str
     place = F.pmod(F.xxhash64(F.lit(10), F.col(id_col)), F.lit(1 << 30))
     share = min(1.0, SAMPLE_DOCS / max(total, 1))
     taken = docs.filter(place < int(share * (1 << 30))).select(F.col(text_col).alias("text"))
+    taken = taken.repartition(2)  # few workers have to load the tokenizer for it
 
     def serialize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = None
@@ -211,8 +212,8 @@ def write_tokens(
                      ("counts", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int32())), ("frames", pa.binary()), ("width", pa.int32()),
                      ("dictionary", pa.string())]
                 )
-            for lo in range(0, batch.num_rows, 1000):
-                own = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 2000):
+                own = batch.slice(lo, 2000)
                 for doc, raw in zip(own.column(0).to_pylist(), encoder.encode(own.column(1).to_pylist()), strict=True):
                     ids.append(doc)
                     counts.append(len(raw) // encoder.width)
