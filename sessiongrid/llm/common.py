@@ -53,20 +53,24 @@ def flag(rows: DataFrame, columns: list[str], bitmap: DataFrame, name: str, bits
     )
 
 
+def whole_row(rows: DataFrame) -> Column:
+    """All columns as one, so that names of further columns cannot clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row")
+
+
 def keep_rows(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows whose non-null ``column`` occurs in ``keys``; others are mostly dropped before the shuffle."""
-    keys = keys.select(column).distinct()
-    near = flag(rows, [column], key_bitmap(keys, [column]), "_near").filter("_near").drop("_near")
-    return near.join(keys, column, "left_semi")
+    keys = keys.select(F.col(column).alias("key")).distinct()
+    marked = flag(rows.select(whole_row(rows), F.col(column).alias("key")), ["key"], key_bitmap(keys, ["key"]), "near")
+    return marked.filter("near").join(keys, "key", "left_semi").select("row.*")
 
 
 def drop_rows(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` does not occur in ``keys``; most of them stay where they are."""
-    keys = keys.select(column).distinct()
-    marked = flag(rows, [column], key_bitmap(keys, [column]), "_near")
-    far = marked.filter(~F.col("_near")).drop("_near")
-    near = marked.filter("_near").drop("_near").join(keys, column, "left_anti")
-    return far.unionByName(near)
+    keys = keys.select(F.col(column).alias("key")).distinct()
+    marked = flag(rows.select(whole_row(rows), F.col(column).alias("key")), ["key"], key_bitmap(keys, ["key"]), "near")
+    near = marked.filter("near").join(keys, "key", "left_anti")
+    return marked.filter("not near").select("row.*").unionByName(near.select("row.*"))
 
 
 def ordered_index(rows: DataFrame, *order: Column, partitions: int = 8) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessiongrid.llm.common import BITS, SPACE, drop_rows, flag, key_bitmap
+from sessiongrid.llm.common import BITS, SPACE, drop_rows, flag, key_bitmap, whole_row
 from sessiongrid.sources.storage import stage
 
 PREFIX = 256
@@ -87,8 +87,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = stage(exact_dedup(docs, id_col, text_col).filter(~F.col("kept")), "dropped")
     own = F.col(id_col).eqNullSafe(F.col("keep_id"))
     others, again = (found.filter(f).select(key("full_hash").alias("_key")) for f in (~own, own))
-    rest = drop_rows(docs.withColumn("_key", key(F.sha2(normalised(text_col), 256))), others, "_key")
+    keyed = docs.select(whole_row(docs), key(F.sha2(normalised(text_col), 256)).alias("_key"))
+    rest = drop_rows(keyed, others, "_key")
     # Further rows of an id that stays; other rows have keys of their own.
     marked = flag(rest, ["_key"], key_bitmap(again, ["_key"]), "_near")
     single = marked.filter("_near").dropDuplicates(["_key"])
-    return marked.filter(~F.col("_near")).unionByName(single).drop("_key", "_near")
+    return marked.filter(~F.col("_near")).unionByName(single).select("row.*")

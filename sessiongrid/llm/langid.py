@@ -256,10 +256,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
                 columns.append(pa.array(found, kind))
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *OUTPUT[: 2 + spans]])
 
-    schema = docs.select("*", F.lit("").alias(OUTPUT[0]), F.lit(0.0).alias(OUTPUT[1])).schema
-    if spans:
-        schema = schema.add(OUTPUT[2], "array<struct<start:int,end:int,lang:string>>")
-    return docs.mapInArrow(predict, schema)
+    kinds = ("string", "double", "array<struct<start:int,end:int,lang:string>>")
+    added = [F.lit(None).cast(kind).alias(name) for name, kind in zip(OUTPUT, kinds, strict=True)]
+    return docs.mapInArrow(predict, docs.select("*", *added[: 2 + spans]).schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:

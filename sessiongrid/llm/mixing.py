@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessiongrid.llm.common import whole_row
 from sessiongrid.sources.storage import stage
 
 ROWS_PER_BUCKET = 20_000
@@ -114,14 +115,12 @@ def source_sizes(docs: DataFrame, source_col: str = "source", size_col: str = "s
     return stage(docs.groupBy(source_col).agg(F.sum(size_col).alias("source_size")), "sources")
 
 
-def repeat_rows(docs: DataFrame, copies: DataFrame, key: list[str], count_col: str = "copies") -> DataFrame:
-    """``docs``, each row as often as ``copies`` says for its ``key`` (nulls equal each other)."""
-    names = {c: f"_key_{i}" for i, c in enumerate(key)}
-    counts = copies.groupBy(*key).agg(F.max(count_col).cast("int").alias("_copies")).filter("_copies > 0")
-    counts = counts.select("_copies", *(F.col(c).alias(n) for c, n in names.items()))
-    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
-    return (
-        docs.join(counts, same)
-        .withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .drop("_turn", "_copies", *names.values())
-    )
+def repeat_rows(docs: DataFrame, copies: DataFrame, key: dict[str, Column], count_col: str = "copies") -> DataFrame:
+    """``docs``, each row as often as ``copies`` says for its key: column of ``copies`` to expression.
+
+    Nulls equal each other; rows without copies go. The columns stay as they are.
+    """
+    counts = copies.groupBy(*key).agg(F.max(count_col).cast("int").alias("copies")).filter("copies > 0")
+    rows = docs.select(whole_row(docs), *(e.alias(f"of_{c}") for c, e in key.items()))
+    same = [F.col(f"of_{c}").eqNullSafe(F.col(c)) for c in key]
+    return rows.join(counts, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
