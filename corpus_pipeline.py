@@ -50,8 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: 0 to 2 times."""
     sizes = sized(docs)
     copies = mix_sources(sizes, weighted_sources(sizes))
-    counted = docs.withColumn("_words", word_count("text"))
-    return repeat_rows(counted, copies.withColumnRenamed("size", "_words"), ["doc_id", "source", "_words"]).drop("_words")
+    return repeat_rows(docs, copies, {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": word_count("text")})
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
