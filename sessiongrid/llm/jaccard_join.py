@@ -41,6 +41,7 @@ from sessiongrid.sources.storage import stage
 THRESHOLD = 80  # percent
 WIDTH = 5
 SHINGLES_PER_RANGE = 3_000_000
+SETS_PER_PART = 1_000_000
 PACKED = 1_500_000  # shingles packed at once in a task
 BLOCK_TEXTS = 3000
 HEAP = 2000  # more list entries than this are merged by sorting them at once
@@ -78,8 +79,9 @@ def _pack(tokens: np.ndarray, owner: np.ndarray, names: np.ndarray, bits: int, r
     for lo, hi in itertools.pairwise(cuts.tolist()):
         if hi > lo:
             steps = np.diff(tokens[lo:hi], prepend=np.uint64(0))
-            marked = (owner[lo:hi].astype(np.uint64) << np.uint64(1)) | several[lo:hi].astype(np.uint64)
-            rows.append((int(place[lo]), to_planes(steps), to_planes(marked), names.astype("<i8").tobytes()))
+            used, own = np.unique(owner[lo:hi], return_inverse=True)
+            marked = (own.astype(np.uint64) << np.uint64(1)) | several[lo:hi].astype(np.uint64)
+            rows.append((int(place[lo]), to_planes(steps), to_planes(marked), names[used].astype("<i8").tobytes()))
     return pd.DataFrame(rows, columns=["range", "steps", "owners", "names"]), shared
 
 
@@ -95,7 +97,7 @@ def _nodes(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(run, f"id {kind}, n long, node binary")
 
 
-def _shared_counts(docs: DataFrame, width: int, total: int) -> DataFrame:
+def _shared_counts(docs: DataFrame, width: int, total: int, sets: int) -> DataFrame:
     """(name, shared): at least the number of shingles that a set shares with other sets.
 
     ``name`` is the first 8 bytes of a node. Hashes are cut to so many bits that about one in
@@ -103,6 +105,7 @@ def _shared_counts(docs: DataFrame, width: int, total: int) -> DataFrame:
     """
     bits = min(64, max(24, math.ceil(math.log2(max(total, 2))) + 12))
     ranges = 1 << max(4, math.ceil(math.log2(max(1, total / SHINGLES_PER_RANGE))))
+    parts = max(16, math.ceil(sets / SETS_PER_PART))
 
     # Both kinds of rows fill all columns: a null would turn pandas' longs into doubles.
     columns = ["range", "steps", "owners", "names", "name", "shared"]
@@ -140,7 +143,7 @@ def _shared_counts(docs: DataFrame, width: int, total: int) -> DataFrame:
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         done = rows["shared"] > 0
-        out, rows = [rows.loc[done, ["name", "shared"]]], rows[~done]
+        found, rows = [rows.loc[done, ["name", "shared"]].to_numpy(np.int64)], rows[~done]
         if len(rows):
             tokens, owners, marked = [], [], []
             for row in rows.itertuples():
@@ -159,13 +162,20 @@ def _shared_counts(docs: DataFrame, width: int, total: int) -> DataFrame:
             np.minimum.at(low, group, owner)
             np.maximum.at(high, group, owner)
             many = (low != high) | (np.bincount(group, mark) > 0)
-            mine = owner[many[group] & ~mark]
-            name, shared = np.unique(mine, return_counts=True)
-            out.append(pd.DataFrame({"name": name, "shared": shared}))
-        return pd.concat(out)
+            found.append(np.column_stack(np.unique(owner[many[group] & ~mark], return_counts=True)))
+        both = np.concatenate(found)
+        part = both[:, 0] % parts
+        return pd.DataFrame(
+            [(k, both[part == k].astype("<i8").tobytes()) for k in np.unique(part).tolist()], columns=["part", "counts"]
+        )
 
-    counted = packed.groupBy("range").applyInPandas(count, "name long, shared long")
-    return counted.groupBy("name").agg(F.sum("shared").alias("shared"))
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        both = np.frombuffer(b"".join(rows["counts"]), dtype="<i8").reshape(-1, 2)
+        names, at = np.unique(both[:, 0], return_inverse=True)
+        return pd.DataFrame({"name": names, "shared": np.bincount(at, both[:, 1]).astype(np.int64)})
+
+    counted = packed.groupBy("range").applyInPandas(count, "part long, counts binary")
+    return counted.groupBy("part").applyInPandas(add, "name long, shared long")
 
 
 def _name(node: str = "node"):
@@ -274,8 +284,12 @@ def block_links(nodes: list[bytes], sets: list[np.ndarray], asks: np.ndarray, he
             continue
         at = np.searchsorted(words, sets[q])
         at = at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == sets[q])]
-        lists = [owner[starts[i] : starts[i + 1]] for i in at]
-        lists = [x[np.searchsorted(x, low) : np.searchsorted(x, high)] for x in lists]
+        at = at[starts[at + 1] - starts[at] > held[q]]  # some other text has the shingle
+        if len(at) < least:
+            continue
+        lists = [owner[a:b] for a, b in zip(starts[at].tolist(), starts[at + 1].tolist(), strict=True)]
+        # Cutting long lists to possible sizes saves time; no other size can reach the overlap.
+        lists = [x if len(x) <= 64 else x[np.searchsorted(x, low) : np.searchsorted(x, high)] for x in lists]
         for other in occurrences(lists, least, sizes, n, percent).tolist():
             if group[other] != group[q]:
                 links.append((nodes[q], nodes[other]))
@@ -338,8 +352,8 @@ def jaccard_components(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     nodes = stage(_nodes(rows, width), "nodes")
     known = nodes.filter("id is not null and n > 0")
-    total = known.agg(F.sum("n")).first()[0] or 0
-    shared = _shared_counts(rows.filter("id is not null"), width, total)
+    total, count = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    shared = _shared_counts(rows.filter("id is not null"), width, total, count)
     kinds = known.groupBy("node", "n").agg(F.min("id").alias("id")).withColumn("name", _name())
     chosen = stage(
         kinds.join(shared, "name").filter(F.col("shared") * 100 >= F.col("n") * percent).select("id", "node", "n"), "chosen"
