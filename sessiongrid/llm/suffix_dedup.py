@@ -45,14 +45,13 @@ _SECOND = 0xD1B54A32D192ED03
 
 def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` bytes at each position, joined from halves; the last ones are cut."""
-    h, width = _BYTE[data], 1
-    while width * 2 <= size:
-        h = _mix(h[:-width] * np.uint64(_MULTIPLIER) + h[width:])
-        width *= 2
-    if width < size:
-        rest = size - width
-        h = _mix(h[:-rest] * np.uint64(_MULTIPLIER) + h[rest:])
-    return h
+    h, width, by = _BYTE[data], 1, _MULTIPLIER
+    while width < size:
+        step = min(width, size - width)
+        h = h[:-step] * np.uint64(by) + h[step:]
+        width += step
+        by = by * _SECOND % (1 << 64)  # another factor for each joint
+    return _mix(h)
 
 
 def _window_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -258,10 +257,15 @@ def _region_runs(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows, size = [], 0
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
                 raw = text.encode("utf-8")
-                rows = [(w["anchor"], w["digest"], raw[w["start"] : w["start"] + w["n"] - 1 + length]) for w in wanted]
-                yield pd.DataFrame(rows, columns=["anchor", "digest", "text"])
+                rows += [(w["anchor"], w["digest"], raw[w["start"] : w["start"] + w["n"] - 1 + length]) for w in wanted]
+                size += len(raw)
+                if size > SLICE_BYTES:
+                    yield pd.DataFrame(rows, columns=["anchor", "digest", "text"])
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["anchor", "digest", "text"])
 
     by_doc = places.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "digest", "start", "n")).alias("wanted"))
     keys = ["k1", "k2"]
