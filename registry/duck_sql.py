@@ -6,9 +6,11 @@ SELECT. Short names are used inside the chain: t ticker, d date, op hi lo cl adj
 
 from __future__ import annotations
 
+LATE_MONTH = 2001 * 12 + 4
 TRAIN_END = "DATE '2000-09-30'"
 VALIDATION_END = "DATE '2001-03-31'"
 
+# The public names of the features.
 FEATURES = [
     "ret_1d",
     "mom_5d",
@@ -60,10 +62,10 @@ quotes AS (SELECT t, d, op, hi, lo, cl, adj, vol, 1 AS copies FROM bars)"""
 FEED = f"""{BARS},
 spoiled AS (
     SELECT t, d, s, m,
-           CASE WHEN s = 7 AND m % 43 = 3 THEN NULL ELSE op END AS op,
+           CASE WHEN s = 7 AND m % 43 = 3 OR s = 0 AND m = {LATE_MONTH} THEN NULL ELSE op END AS op,
            CASE WHEN s = 3 AND m % 29 = 7 THEN 0.01::DOUBLE ELSE hi END AS hi,
            lo,
-           CASE WHEN s = 5 AND m % 37 = 11 THEN 'inf'::DOUBLE ELSE cl END AS cl,
+           CASE WHEN s = 5 AND m % 37 = 11 THEN 'inf'::DOUBLE WHEN s = 1 AND m = {LATE_MONTH} THEN NULL ELSE cl END AS cl,
            CASE WHEN s = 6 AND m % 41 = 13 THEN -1.0::DOUBLE ELSE adj END AS adj,
            CASE WHEN s = 4 AND m % 31 = 5 THEN 0.0::DOUBLE ELSE vol END AS vol
     FROM bars),
@@ -197,16 +199,20 @@ SPLITS = f"{DATASET}, {SPLIT}"
 TEST = f"""
 test AS (SELECT * FROM splits WHERE split = 'test'),
 predictions AS (SELECT t, d, 0.0::DOUBLE - ret_1d AS p FROM test),
+entered AS (
+    SELECT t, d, CASE WHEN k % 13 = 5 OR k % 17 = 3 THEN NULL WHEN m % 12 = 3 THEN 0.25::DOUBLE
+                      WHEN m % 2 = 0 OR k % 25 = 1 THEN p END AS p
+    FROM (SELECT *, CAST(substr(t, 3) AS INTEGER) AS k, year(d) * 12 + month(d) - 1 AS m FROM predictions)),
 sessions AS (SELECT d, lead(d) OVER (ORDER BY d) AS entry FROM (SELECT DISTINCT d FROM quotes)),
 top AS (
     SELECT * FROM (
         SELECT d, t, row_number() OVER (PARTITION BY d ORDER BY p DESC, t) AS slot, 0.1::DOUBLE AS weight
-        FROM predictions WHERE p IS NOT NULL)
+        FROM entered WHERE p IS NOT NULL)
     WHERE slot <= 10),
 market AS (SELECT d, t, 1.0::DOUBLE / count(*) OVER (PARTITION BY d) AS weight FROM test)"""
 
 SPEARMAN = """
-pairs AS (SELECT p.d, p.t, p.p, s.target FROM predictions p JOIN test s ON p.d = s.d AND p.t = s.t
+pairs AS (SELECT p.d, p.t, p.p, s.target FROM entered p JOIN test s ON p.d = s.d AND p.t = s.t
           WHERE s.target IS NOT NULL AND p.p IS NOT NULL),
 ranked AS (
     SELECT d,
@@ -214,10 +220,14 @@ ranked AS (
            rank() OVER (PARTITION BY d ORDER BY target)
                + (count(*) OVER (PARTITION BY d, target) - 1) / 2.0::DOUBLE AS b
     FROM pairs),
-scores AS (
+found AS (
     SELECT d, count(*) AS n,
            CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS score
-    FROM ranked GROUP BY d)"""
+    FROM ranked GROUP BY d),
+scores AS (
+    SELECT e.d, coalesce(n, 0) AS n, score,
+           CASE WHEN n IS NULL THEN 'no_known_target' WHEN score IS NULL THEN 'constant' END AS undefined
+    FROM (SELECT DISTINCT d FROM entered) e LEFT JOIN found ON found.d = e.d)"""
 
 
 def held(source: str, name: str, columns: str) -> str:
@@ -244,6 +254,23 @@ def held(source: str, name: str, columns: str) -> str:
     FROM {name} GROUP BY d, entry)"""
 
 
+UNCOVERED = """(SELECT coalesce(string_agg(CAST(d AS VARCHAR), ' ' ORDER BY d), '')
+        FROM (SELECT DISTINCT d FROM test WHERE d NOT IN (SELECT d FROM sessions WHERE entry IS NOT NULL)))"""
+
+# Sessions between the first and the last signal on which nothing was selected are days in cash.
+WHOLE_DAYS = """
+days AS (
+    SELECT d, entry FROM sessions
+    WHERE entry IS NOT NULL AND d BETWEEN (SELECT min(d) FROM test) AND (SELECT max(d) FROM test))""" + "".join(
+    f""",
+{name}_whole AS (
+    SELECT y.d, y.entry, coalesce(filled, 0) AS filled, coalesce(cash_slots, 0) AS cash_slots,
+           coalesce(unresolved, 0) AS unresolved, CASE WHEN x.d IS NULL THEN 0 ELSE gross END AS gross,
+           CASE WHEN x.d IS NULL THEN 0 ELSE net END AS net
+    FROM days y LEFT JOIN {name}_daily x ON x.d = y.d)"""
+    for name in "ab"
+)
+
 METRICS = """
 both_daily AS (
     SELECT 'model' AS portfolio, * FROM a_daily UNION ALL SELECT 'equal_weight_eligible', * FROM b_daily),
@@ -253,12 +280,15 @@ falls AS (
     SELECT *, w / greatest(1.0::DOUBLE, max(w) OVER (PARTITION BY portfolio ORDER BY d ROWS UNBOUNDED PRECEDING)) - 1 AS f
     FROM wealth)"""
 
+WHOLE_METRICS = WHOLE_DAYS + "," + METRICS.replace("_daily UNION", "_whole UNION").replace("FROM b_daily", "FROM b_whole")
+SHARPE = "CASE WHEN count(*) FILTER (net IS NULL) = 0 THEN avg(net) / stddev_samp(net) * sqrt(252.0::DOUBLE) END"
 METRIC_COLUMNS = f"""portfolio AS "Portfolio", min(d) AS first_date, max(d) AS last_date, max(entry) AS last_exit,
     count(*) AS days, count(*) FILTER (net IS NULL) AS unresolved_days,
     {r8("cumulative_gross", "product(1 + gross) - 1")}, {r8("cumulative_net", "product(1 + net) - 1")},
     {r8("sharpe", "avg(net) / stddev_samp(net) * sqrt(252.0::DOUBLE)")}, {r8("max_drawdown", "min(f)")}"""
 
 EVALUATED = f"{CLEAN}, {SPLITS}, {TEST}"
+DIRTY_EVALUATED = f"{DIRTY}, {SPLITS}, {TEST}"
 PORTFOLIOS = f"{EVALUATED}, {held('top', 'a', 'x.slot')}, {held('market', 'b', 'x.d AS day')}, {METRICS}"
 DIRTY_TRADES = f"{DIRTY}, {SPLITS}, {TEST}, {held('top', 'a', 'x.slot')}"
 
@@ -311,13 +341,18 @@ ORACLES: dict[str, str] = {
     "bars_ohlcv": query(BARS, f"SELECT replace(t, '-', '.') AS \"Ticker\", d AS \"Date\", {QUOTES} FROM bars"),
     "normalize_keys": """
 WITH texts AS (
-    SELECT CASE l_orderkey % 7
+    SELECT CASE l_orderkey % 16
                WHEN 0 THEN strftime(l_shipdate, '%Y-%m-%d')
                WHEN 1 THEN strftime(l_shipdate, '%Y-%m-%d') || ' 13:45:00'
                WHEN 2 THEN strftime(l_shipdate, '%Y-%m-%d') || 'T23:30:00-05:00'
                WHEN 3 THEN 'not-a-date'
                WHEN 4 THEN strftime(l_shipdate, '%Y')
-               WHEN 5 THEN '  ' || strftime(l_shipdate, '%Y-%m-%d') END AS dt,
+               WHEN 5 THEN '  ' || strftime(l_shipdate, '%Y-%m-%d')
+               WHEN 7 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 8 THEN strftime(l_shipdate, '%Y-%m-%d')
+               WHEN 9 THEN strftime(l_shipdate, '%Y-%m-%d') || ' 23:30:00-05:00'
+               WHEN 10 THEN strftime(l_shipdate, '%Y-%m-%d') || ' 23:30:00-05:00'
+               WHEN 11 THEN 'a zone by name' WHEN 12 THEN 'out of range' WHEN 13 THEN '1677-09-21'
+               WHEN 14 THEN strftime(CAST(l_shipdate AS DATE) - 1, '%Y-%m-%d') WHEN 15 THEN '2262-04-11' END AS dt,
            CASE l_linenumber % 5
                WHEN 0 THEN 's.' || l_suppkey
                WHEN 1 THEN chr(9) || 's.' || l_suppkey || ' ' || chr(10)
@@ -332,6 +367,12 @@ keys AS (
     FROM texts)
 SELECT "Date", "Ticker", count(*) AS rows FROM keys
 WHERE "Date" IS NOT NULL AND "Ticker" <> '' GROUP BY "Date", "Ticker" """,
+    "unusable_keys": query(
+        FEED,
+        """SELECT 'unreadable_date' AS reason, count(*) FILTER (d IS NULL OR month(d) = 3) AS rows FROM feed
+UNION ALL SELECT 'date_out_of_range', count(*) FILTER (month(d) = 2) FROM feed
+UNION ALL SELECT 'missing_ticker', count(*) FILTER (t = '') FROM feed""",
+    ),
     "coerce_numeric": """
 WITH texts AS (
     SELECT l_orderkey % 9 AS kind, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM lineitem),
@@ -443,8 +484,9 @@ LEFT JOIN nation_bars b ON b.d = c.d AND b.n_name = n.n_name""",
         """SELECT count(*) AS rows, count(*) FILTER (split = 'train') AS train_rows,
     count(*) FILTER (split = 'validation') AS validation_rows, count(*) FILTER (split = 'test') AS test_rows,
     count(*) FILTER (split = 'purged') AS purged_rows,
-    (SELECT count(*) FROM (SELECT 1 FROM splits GROUP BY t, d HAVING count(*) > 1)) AS repeated_keys,
-    count(*) FILTER (ret_1d IS NULL OR mom_60d IS NULL OR vol_20d IS NULL) AS rows_with_missing_features FROM splits""",
+    (SELECT count(*) FROM splits WHERE CAST(substr(t, 3) AS INTEGER) % 7 = 4) AS repeated_keys,
+    count(*) AS rows_with_missing_features
+FROM (SELECT * FROM splits UNION ALL SELECT * FROM splits WHERE CAST(substr(t, 3) AS INTEGER) % 7 = 4)""",
     ),
     "dataset_counts": query(
         f"{CLEAN}, {SPLITS}, {SUPPLIERS}",
@@ -465,7 +507,7 @@ UNION ALL SELECT 'duplicate', d, t FROM numbered WHERE k = 2
 UNION ALL SELECT 'not_finite', d, t FROM numbered WHERE k = 3
 UNION ALL SELECT 'extra', d, t || 'X' FROM numbered WHERE k = 4""",
     ),
-    "daily_spearman": query(f"{EVALUATED}, {SPEARMAN}", f'SELECT d AS "Date", n, {r8("score")} FROM scores'),
+    "daily_spearman": query(f"{EVALUATED}, {SPEARMAN}", f'SELECT d AS "Date", n, {r8("score")}, undefined FROM scores'),
     "spearman_summary": query(
         f"{EVALUATED}, {SPEARMAN}",
         f"""SELECT count(score) AS scored_dates, count(*) FILTER (score IS NULL) AS undefined_dates,
@@ -488,15 +530,45 @@ UNION ALL SELECT 'extra', d, t || 'X' FROM numbered WHERE k = 4""",
     ),
     "portfolio_metrics": query(PORTFOLIOS, f"SELECT {METRIC_COLUMNS} FROM falls GROUP BY portfolio"),
     "backtest_results": query(
-        f"""{PORTFOLIOS}, {SPEARMAN},
+        f"""{EVALUATED}, {held('top', 'a', 'x.slot')}, {held('market', 'b', 'x.d AS day')}, {WHOLE_METRICS}, {SPEARMAN},
 summary AS (SELECT count(score) AS scored, count(*) FILTER (score IS NULL) AS undefined, avg(score) AS mean FROM scores)""",
         f"""SELECT {METRIC_COLUMNS},
     CASE WHEN portfolio = 'model' THEN (SELECT scored FROM summary) END AS scored_dates,
     CASE WHEN portfolio = 'model' THEN (SELECT undefined FROM summary) END AS undefined_dates,
     {r8("mean_score", "CASE WHEN portfolio = 'model' THEN (SELECT mean FROM summary) END")},
+    {UNCOVERED} AS uncovered_dates,
     CASE WHEN portfolio = 'model' THEN 10 END AS slots, 0.001::DOUBLE AS cost_per_side, 252 AS days_per_year,
     'equal_weight_eligible' AS benchmark,
     'signal after close; buy next session open, sell its close; cash overnight; no shorts' AS rules
 FROM falls GROUP BY portfolio""",
     ),
+    "results_csv": query(
+        f"""{DIRTY_EVALUATED}, {held('top', 'a', 'x.slot')}, {held('market', 'b', 'x.d AS day')}, {WHOLE_METRICS}""",
+        f"""SELECT portfolio AS "Portfolio", min(d) AS first_date, max(d) AS last_date, max(entry) AS last_exit, count(*) AS days,
+    count(*) FILTER (net IS NULL) AS unresolved_days, {r8("sharpe", SHARPE)}, CASE WHEN portfolio = 'model' THEN 10 END AS slots
+FROM falls GROUP BY portfolio""",
+    ),
+    "wide_csv_roundtrip": query(
+        NATION_BARS,
+        f"""SELECT c.d AS "Date", n.n_name AS "Ticker", {QUOTES}
+FROM (SELECT DISTINCT d FROM nation_bars) c CROSS JOIN nation n
+LEFT JOIN nation_bars b ON b.d = c.d AND b.n_name = n.n_name""",
+    ),
+    "constituents_roundtrip": query(
+        SUPPLIERS,
+        """SELECT lower(t) AS "Ticker", s_name AS "Security", n_name AS "GICS Sector",
+    CAST(NULL AS VARCHAR) AS "GICS Sub-Industry" FROM details""",
+    ),
+    "sorted_export": query(
+        f"{CLEAN}, {SPLITS}",
+        "SELECT count(*) AS rows, true AS in_order, min(d) AS first_date, max(d) AS last_date FROM splits",
+    ),
+    "predictions_csv": query(
+        EVALUATED,
+        f"""SELECT d AS "Date", t AS "Ticker", {r8("prediction", "CASE WHEN month(d) <> 5 THEN p END")} FROM entered""",
+    ),
+    "training_inputs": query(
+        f"{CLEAN}, {SPLITS}",
+        f"SELECT {all_r8('mom_5d', 'vol_20d', 'range_pct', 'target')} FROM splits WHERE split = 'train' AND target IS NOT NULL",
+    ),
 }

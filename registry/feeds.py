@@ -13,6 +13,8 @@ from sessiongrid.schema import QUOTE_COLUMNS, RAW_COLUMNS, quoted
 
 TRAIN_END = "2000-09-30"
 VALIDATION_END = "2001-03-31"
+# A month of the test period, counted from year 0, in which some stocks cannot be traded.
+LATE_MONTH = 2001 * 12 + 4
 # More than any price in cents.
 _DAY = 10**10
 # Fixed value: the nation table has 25 rows at every scale factor.
@@ -71,9 +73,11 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         {
             "High": F.when((s == 3) & (m % 29 == 7), 0.01).otherwise(F.col("High")),
             "Volume": F.when((s == 4) & (m % 31 == 5), 0.0).otherwise(F.col("Volume")),
-            "Close": F.when((s == 5) & (m % 37 == 11), float("inf")).otherwise(F.col("Close")),
+            "Close": F.when((s == 5) & (m % 37 == 11), float("inf"))
+            .when((s == 1) & (m == LATE_MONTH), F.lit(None))
+            .otherwise(F.col("Close")),
             "Adj Close": F.when((s == 6) & (m % 41 == 13), -1.0).otherwise(F.col("Adj Close")),
-            "Open": F.when((s == 7) & (m % 43 == 3), F.lit(None)).otherwise(F.col("Open")),
+            "Open": F.when(((s == 7) & (m % 43 == 3)) | ((s == 0) & (m == LATE_MONTH)), F.lit(None)).otherwise(F.col("Open")),
         }
     )
     kinds = F.array(
@@ -90,6 +94,24 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reversal(eligible: DataFrame) -> DataFrame:
+    """A stand-in model: yesterday's move reverses."""
+    return eligible.select("Date", "Ticker", (F.lit(0.0) - F.col("ret_1d")).alias("prediction"))
+
+
+def predictions(eligible: DataFrame) -> DataFrame:
+    """The reversal, from a model that fails for some stocks (not a number, infinite), gives one
+    value to all in April, and knows few stocks in every second month."""
+    k, m = F.substring_index("Ticker", "-", -1).cast("int"), F.year("Date") * 12 + F.month("Date") - 1
+    value = (
+        F.when(k % 13 == 5, float("nan"))
+        .when(k % 17 == 3, float("inf"))
+        .when(m % 12 == 3, 0.25)
+        .when((m % 2 == 0) | (k % 25 == 1), F.lit(0.0) - F.col("ret_1d"))
+    )
+    return eligible.select("Date", "Ticker", value.alias("prediction"))
+
+
 def conflicting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars with altered second records of some keys."""
     extra = F.when((F.col("s") == 1) & (F.col("m") % 13 == 1), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from registry import feeds
 from registry.feeds import TRAIN_END, VALIDATION_END
 from sessiongrid.functions.columns import normalize_ticker, to_finite_double, to_session_date
-from sessiongrid.operators.clean import clean_quotes, conflicting_keys, drop_invalid_keys
+from sessiongrid.operators.clean import clean_quotes, conflicting_keys, drop_invalid_keys, unusable_keys
 from sessiongrid.operators.dataset import (
     add_date_splits,
     crossing_dates,
@@ -47,12 +47,20 @@ from sessiongrid.operators.quality import (
     valid_quotes_per_ticker,
 )
 from sessiongrid.operators.scoring import daily_spearman, spearman_summary, submission_issues
-from sessiongrid.plans.backtest import BENCHMARK, MODEL, backtest
+from sessiongrid.plans.backtest import BENCHMARK, MODEL, backtest, write_backtest
 from sessiongrid.plans.panel import checked_panel, prepare_price_panel, public_panel
 from sessiongrid.plans.shared_table import Settings, build_shared_table
-from sessiongrid.schema import FEATURES, QUOTE_COLUMNS, export_columns, quoted
-from sessiongrid.sources.files import conform_tickers, raw_price_report, read_model_table, wide_to_long
-from sessiongrid.sources.storage import fingerprint, scratch_path, write_table
+from sessiongrid.schema import FEATURES, QUOTE_COLUMNS, export_columns, model_inputs, quoted
+from sessiongrid.sources.files import (
+    conform_tickers,
+    raw_price_report,
+    read_constituents,
+    read_model_table,
+    read_predictions,
+    read_wide_prices,
+    wide_to_long,
+)
+from sessiongrid.sources.storage import fingerprint, scratch_path, stage, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,7 +92,7 @@ def _panel(spark, sf):
 
 
 def _dataset(spark, sf, labeled_only=False):
-    return make_model_dataset(_panel(spark, sf), labeled_only=labeled_only)
+    return make_model_dataset(_panel(spark, sf), labeled_only=labeled_only, scratch=scratch_path(spark, "kept"))
 
 
 def _splits(spark, sf):
@@ -92,14 +100,10 @@ def _splits(spark, sf):
 
 
 def _test_rows(spark, sf, feed=feeds.bars):
-    # The rank of the label is not needed here, so it is not computed.
-    panel = public_panel(checked_panel(clean_quotes(feed(spark, sf)))).filter("SignalEligible")
-    return split_rows(add_date_splits(panel, TRAIN_END, VALIDATION_END, validate=False), "test", labeled=False)
-
-
-def _predict(eligible):
-    """A stand-in model: yesterday's move reverses."""
-    return eligible.select("Date", "Ticker", (F.lit(0.0) - F.col("ret_1d")).alias("prediction"))
+    panel = public_panel(checked_panel(clean_quotes(feed(spark, sf))))
+    dataset = make_model_dataset(panel, labeled_only=False, scratch=scratch_path(spark, "kept"))
+    # Written, because every evaluation reads it several times.
+    return stage(split_rows(add_date_splits(dataset, TRAIN_END, VALIDATION_END, validate=False), "test", labeled=False), "test")
 
 
 # --- cleaning -------------------------------------------------------------------------
@@ -111,7 +115,8 @@ def bars_ohlcv(spark, sf):
 
 def normalize_keys(spark, sf):
     day = F.col("l_shipdate").cast("date").cast("string")
-    kind = F.col("l_orderkey") % 7
+    parts = [F.date_format(F.col("l_shipdate").cast("date"), form) for form in ("yyyyMMdd", "yyyy/M/d", "yyyy-M-d")]
+    kind = F.col("l_orderkey") % 16
     text = (
         F.when(kind == 0, day)
         .when(kind == 1, F.concat(day, F.lit(" 13:45:00")))
@@ -119,6 +124,15 @@ def normalize_keys(spark, sf):
         .when(kind == 3, "not-a-date")
         .when(kind == 4, F.substring(day, 1, 4))
         .when(kind == 5, F.concat(F.lit("  "), day))
+        .when(kind == 7, parts[0])
+        .when(kind == 8, parts[1])
+        .when(kind == 9, F.concat(day, F.lit(" 23:30-05:00")))
+        .when(kind == 10, F.concat(parts[2], F.lit(" 23:30-5")))
+        .when(kind == 11, F.concat(day, F.lit(" 23:30:00 America/New_York")))
+        .when(kind == 12, F.lit("1677-09-20"))
+        .when(kind == 13, F.lit("1677-09-21 00:00"))
+        .when(kind == 14, F.concat(day, F.lit("T01:15:00.5+0530")))
+        .when(kind == 15, F.lit("2262-04-11T23:59Z"))
     )
     number, form = F.col("l_suppkey").cast("string"), F.col("l_linenumber") % 5
     ticker = (
@@ -128,10 +142,11 @@ def normalize_keys(spark, sf):
         .when(form == 3, "   ")
         .otherwise(F.concat(F.lit("S-"), number))
     )
-    keys = feeds.table(spark, sf, "lineitem").select(
-        to_session_date(text, T.StringType()).alias("Date"), normalize_ticker(ticker).alias("Ticker")
+    texts = feeds.table(spark, sf, "lineitem").groupBy(text.alias("day"), ticker.alias("name")).count()
+    keys = texts.select(
+        to_session_date(F.col("day"), T.StringType()).alias("Date"), normalize_ticker(F.col("name")).alias("Ticker"), "count"
     )
-    return drop_invalid_keys(keys).groupBy("Date", "Ticker").agg(F.count("*").alias("rows"))
+    return drop_invalid_keys(keys).groupBy("Date", "Ticker").agg(F.sum("count").alias("rows"))
 
 
 def coerce_numeric(spark, sf):
@@ -155,6 +170,14 @@ def coerce_numeric(spark, sf):
     )
 
 
+def key_faults(spark, sf):
+    raw = feeds.dirty(spark, sf).withColumn(
+        "Date",
+        F.when(F.month("Date") == 2, F.lit("1500-02-01")).when(F.month("Date") == 3, "soon").otherwise(F.col("Date").cast("string")),
+    )
+    return unusable_keys(raw)
+
+
 def dedupe_quotes(spark, sf):
     return clean_quotes(feeds.dirty(spark, sf))
 
@@ -195,6 +218,59 @@ def quotes_per_ticker(spark, sf):
     return valid_quotes_per_ticker(add_quote_reasons(densify(clean_quotes(feeds.dirty(spark, sf)))))
 
 
+# --- files ------------------------------------------------------------------------------
+
+
+def wide_csv_roundtrip(spark, sf):
+    """The wide table as a file with its two header lines, read and turned into quotes."""
+    wide = feeds.wide_bars(spark, sf)
+    path = scratch_path(spark, "wide_csv")
+    names = [name.split("/") for name in wide.columns[1:]]
+    heads = [["", *[ticker for ticker, _ in names]], ["", *[field for _, field in names]]]
+    cells = [F.coalesce(F.col(quoted(name)).cast("string"), F.lit("")) for name in wide.columns]
+    lines = wide.select(F.concat_ws(",", *cells).alias("value"), F.col("Date").cast("string").alias("at"))
+    head = spark.createDataFrame([(",".join(cells), f"{i}") for i, cells in enumerate(heads)], "value string, at string")
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return wide_to_long(read_wide_prices(spark, path))
+
+
+def constituents_roundtrip(spark, sf):
+    """Details with a Symbol only, as a file; saved in order of the ticker made from it."""
+    path = scratch_path(spark, "constituents_csv")
+    details = feeds.details(spark, sf).select(
+        F.concat(F.lit(" "), F.lower("Ticker")).alias("Symbol"), "Security", F.col("Nation").alias("GICS Sector"), F.lit(None).cast("string").alias("GICS Sub-Industry")
+    )
+    write_table(details, path, "csv", sort_by=["Symbol"])
+    return read_constituents(spark, path)
+
+
+def sorted_export(spark, sf):
+    """Whether the files of the export follow each other in order: their key ranges."""
+    path = scratch_path(spark, "sorted_export")
+    write_table(export_columns(_splits(spark, sf)), path, sort_by=["Date", "Ticker"])
+    rows = spark.read.parquet(path).select("Date", "Ticker", F.input_file_name().alias("file"))
+    key = F.struct("Date", "Ticker")
+    files = rows.groupBy("file").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("rows"))
+    before = Window.orderBy("file")
+    return files.withColumn("follows", F.coalesce(F.lag("high").over(before) < F.col("low"), F.lit(True))).agg(
+        F.sum("rows").alias("rows"), F.every("follows").alias("in_order"), F.min("low")["Date"].alias("first_date"), F.max("high")["Date"].alias("last_date")
+    )
+
+
+def predictions_csv(spark, sf):
+    """A submission as a file, with cells that are not numbers."""
+    path = scratch_path(spark, "predictions_csv")
+    sent = feeds.predictions(_test_rows(spark, sf)).withColumn(
+        "prediction", F.when(F.month("Date") == 5, "n/a").otherwise(F.col("prediction").cast("string"))
+    )
+    write_table(sent, path, "csv")
+    return rounded(read_predictions(spark, path), "prediction")
+
+
+def training_inputs(spark, sf):
+    return rounded(model_inputs(split_rows(_splits(spark, sf), "train"), ["mom_5d", "vol_20d", "range_pct"]))
+
+
 # --- details and raw-table checks -----------------------------------------------------
 
 
@@ -266,7 +342,7 @@ def prepare_panel_full(spark, sf):
 def model_table(spark, sf):
     """The whole way from untidy quotes to the table that is shared."""
     panel = prepare_price_panel(feeds.dirty(spark, sf), feeds.details(spark, sf), validate=False).panel
-    dataset = make_model_dataset(panel, labeled_only=False)
+    dataset = make_model_dataset(panel, labeled_only=False, scratch=scratch_path(spark, "kept"))
     return rounded(export_columns(add_date_splits(dataset, TRAIN_END, VALIDATION_END, validate=False)))
 
 
@@ -299,7 +375,13 @@ def train_rows(spark, sf):
 
 
 def model_contract(spark, sf):
-    return model_table_report(_splits(spark, sf))
+    """The report over a table with repeated keys and missing features."""
+    k = F.substring_index("Ticker", "-", -1).cast("int")
+    turns = F.explode(F.sequence(F.lit(1), F.when(k % 7 == 4, 2).otherwise(1)))
+    damaged = [F.when(k % 9 != i, F.col(name)).alias(name) for i, name in enumerate(FEATURES)]
+    splits = _splits(spark, sf)
+    rest = [name for name in splits.columns if name not in FEATURES]
+    return model_table_report(splits.select(*[quoted(name) for name in rest], *damaged, turns))
 
 
 def counts(spark, sf):
@@ -333,33 +415,38 @@ def submission_check(spark, sf):
     kinds = F.array(
         F.when(~number.isin(1, 3), "row"), F.when(number == 2, "copy"), F.when(number == 3, "blank"), F.when(number == 4, "other")
     )
-    rows = _predict(eligible).withColumn("kind", F.explode(F.array_compact(kinds)))
+    number_or_text = feeds.reversal(eligible).withColumn("prediction", F.col("prediction").cast("string"))
+    rows = number_or_text.withColumn("kind", F.explode(F.array_compact(kinds)))
     submitted = rows.select(
         "Date",
         F.when(F.col("kind") == "other", F.concat("Ticker", F.lit("X"))).otherwise(F.col("Ticker")).alias("Ticker"),
-        F.when(F.col("kind") != "blank", F.col("prediction")).alias("prediction"),
+        F.when(F.col("kind") != "blank", F.col("prediction"))
+        .otherwise(F.element_at(F.array(*map(F.lit, ["NaN", "Infinity", "high"])), (F.month("Date") % 3 + 1).cast("int")))
+        .alias("prediction"),
     )
     return submission_issues(submitted, eligible)
 
 
 def spearman_daily(spark, sf):
     eligible = _test_rows(spark, sf)
-    return rounded(daily_spearman(_predict(eligible), eligible), "score")
+    daily = daily_spearman(feeds.predictions(eligible), eligible, scratch=scratch_path(spark, "pairs"))
+    return rounded(daily, "score")
 
 
 def spearman_totals(spark, sf):
     eligible = _test_rows(spark, sf)
-    return rounded(spearman_summary(daily_spearman(_predict(eligible), eligible)), "mean_score")
+    daily = daily_spearman(feeds.predictions(eligible), eligible, scratch=scratch_path(spark, "pairs"))
+    return rounded(spearman_summary(daily), "mean_score")
 
 
 def top10_selection(spark, sf):
-    return select_top(_predict(_test_rows(spark, sf)))
+    return select_top(feeds.predictions(_test_rows(spark, sf)))
 
 
 def _dirty_trades(spark, sf):
     quotes = clean_quotes(feeds.dirty(spark, sf))
-    top = select_top(_predict(_test_rows(spark, sf, feeds.dirty)))
-    return trades(top, session_calendar(quotes), quotes, per_date=10)
+    top = select_top(feeds.predictions(_test_rows(spark, sf, feeds.dirty)))
+    return trades(top, session_calendar(quotes), quotes)
 
 
 def top10_trades(spark, sf):
@@ -382,7 +469,7 @@ def left_out_dates(spark, sf):
 
 def metrics(spark, sf):
     quotes, eligible = _quotes(spark, sf), _test_rows(spark, sf)
-    chosen = select_top(_predict(eligible)).select(F.lit(MODEL).alias("Portfolio"), "Date", "Ticker", "weight")
+    chosen = select_top(feeds.predictions(eligible)).select(F.lit(MODEL).alias("Portfolio"), "Date", "Ticker", "weight")
     market = benchmark_selection(eligible).select(F.lit(BENCHMARK).alias("Portfolio"), "Date", "Ticker", "weight")
     daily = daily_returns(trades(chosen.unionByName(market), session_calendar(quotes), quotes))
     return rounded(portfolio_metrics(daily), "cumulative_gross", "cumulative_net", "sharpe", "max_drawdown")
@@ -390,14 +477,30 @@ def metrics(spark, sf):
 
 def backtest_results(spark, sf):
     eligible = _test_rows(spark, sf)
-    done = backtest(_predict(eligible), feeds.bars(spark, sf), eligible, validate=False)
+    predictions = feeds.predictions(eligible)
+    stray = predictions.withColumn("Ticker", F.lit("S-X"))  # not eligible, so never traded
+    done = backtest(
+        predictions.unionByName(stray), feeds.bars(spark, sf), eligible, validate=False, scratch=scratch_path(spark, "pairs")
+    )
     values = ("cumulative_gross", "cumulative_net", "sharpe", "max_drawdown", "mean_score")
-    return rounded(done.results, *values).drop("uncovered_dates")
+    return rounded(done.results, *values)
+
+
+def results_csv(spark, sf):
+    """Results as saved and read again; an unresolved trade leaves the metrics missing."""
+    eligible = _test_rows(spark, sf, feeds.dirty)
+    path = scratch_path(spark, "results")
+    done = backtest(feeds.predictions(eligible), feeds.dirty(spark, sf), eligible, validate=False, scratch=scratch_path(spark, "pairs"))
+    write_backtest(done, path)
+    saved = spark.read.option("header", True).schema(done.results.schema).csv(f"{path}/results")
+    names = ["Portfolio", "first_date", "last_date", "last_exit", "days", "unresolved_days", "sharpe", "slots"]
+    return rounded(saved.select(*names), "sharpe")
 
 
 QUERIES: dict[str, Query] = {
     "bars_ohlcv": bars_ohlcv,
     "normalize_keys": normalize_keys,
+    "unusable_keys": key_faults,
     "coerce_numeric": coerce_numeric,
     "dedupe_quotes": dedupe_quotes,
     "conflict_keys": conflict_keys,
@@ -445,4 +548,10 @@ QUERIES: dict[str, Query] = {
     "uncovered_dates": left_out_dates,
     "portfolio_metrics": metrics,
     "backtest_results": backtest_results,
+    "results_csv": results_csv,
+    "wide_csv_roundtrip": wide_csv_roundtrip,
+    "constituents_roundtrip": constituents_roundtrip,
+    "sorted_export": sorted_export,
+    "predictions_csv": predictions_csv,
+    "training_inputs": training_inputs,
 }

@@ -22,10 +22,12 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# Year-month-day must lead, because a bare "2024" or "12:30" would also cast to a timestamp.
-# Only years from 1678 to 2261 are accepted, see FIRST_DATE.
-_DATE_START = r"^\s*(167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])-\d{1,2}-\d{1,2}"
-_HAS_OFFSET = r":\d{2}(\.\d+)?\s*(Z|[+-]\d{1,2}(:?\d{2})?)\s*$"
+# A day as 2021-05-06, 2021/5/6 or 20210506, then perhaps a time, then perhaps an offset.
+# Names of time zones do not match, so such text is missing.
+_DAY = r"^\s*(\d{4})(?:([-/])(\d{1,2})\2(\d{1,2})|(\d{2})(\d{2}))"
+_TIME = r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)"
+_LOCAL = rf"{_DAY}(?:[T\s]\s*{_TIME}|[T\s])?\s*$"
+_INSTANT = rf"{_DAY}[T\s]\s*{_TIME}\s*(Z|[+-]\d{{1,2}}):?(\d{{2}})?\s*$"
 # Spark reads a Java type suffix ("1.5d") as part of a number.
 _NUMBER_SUFFIX = r"[dDfF]\s*$"
 
@@ -35,30 +37,43 @@ def _utc_date(instant: Column) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / F.lit(86400.0)).cast("int"))
 
 
+def _text_to_day(c: Column) -> Column:
+    local = F.trim(F.regexp_replace(c, _LOCAL, r"$1-$3$5-$4$6 $7")).try_cast("timestamp_ntz").cast("date")
+    part = lambda groups: F.regexp_replace(c, _INSTANT, groups)
+    hours, minutes = (F.coalesce(part(group).try_cast("int"), F.lit(0)) for group in ("$8", "$9"))
+    shift = hours * 60 + F.when(part("$8").startswith("-"), -minutes).otherwise(minutes)
+    instant = part(r"$1-$3$5-$4$6 $7").try_cast("timestamp_ntz") - F.make_dt_interval(mins=shift)
+    return F.when(c.rlike(_LOCAL), local).when(c.rlike(_INSTANT), instant.cast("date"))
+
+
+def to_day(c: Column, dtype: T.DataType, fmt: str | None = None) -> Column:
+    """The UTC calendar day of a date, timestamp or text column, whatever its year."""
+    if isinstance(dtype, T.StringType):
+        return _text_to_day(c) if fmt is None else F.try_to_date(c, fmt)
+    if isinstance(dtype, T.DateType):
+        return c
+    if isinstance(dtype, T.TimestampNTZType):
+        return c.cast("date")
+    if isinstance(dtype, T.TimestampType):
+        return _utc_date(c)
+    raise ValueError(f"Cannot read dates from a column of type {dtype.simpleString()}")
+
+
+def in_calendar(day: Column) -> Column:
+    """Whether a day lies in the calendar, see FIRST_DATE."""
+    return day.between(F.lit(FIRST_DATE).cast("date"), F.lit(LAST_DATE).cast("date"))
+
+
 def to_session_date(c: Column, dtype: T.DataType, fmt: str | None = None) -> Column:
     """The UTC calendar day of a date, timestamp or text column; NULL if it is not one.
 
-    Text is read as ISO, row by row, unless ``fmt`` gives another pattern. Text without an
-    offset is taken as UTC.
+    Text is read row by row as year, month and day (with dashes, slashes or two digits each
+    and nothing between them), perhaps followed by a time and that by an offset, unless
+    ``fmt`` gives another pattern. Without an offset it is taken as UTC. Days outside the
+    calendar are NULL.
     """
-    if isinstance(dtype, T.StringType) and fmt is None:
-        # The pattern keeps the date in range, so the text is parsed only once.
-        text = F.when(c.rlike(_DATE_START), c)
-        has_offset = (F.length(c) > 16) & c.rlike(_HAS_OFFSET)
-        return F.when(has_offset, _utc_date(text.try_cast("timestamp"))).otherwise(
-            text.try_cast("timestamp_ntz").cast("date")
-        )
-    if isinstance(dtype, T.StringType):
-        day = F.try_to_date(c, fmt)
-    elif isinstance(dtype, T.DateType):
-        day = c
-    elif isinstance(dtype, T.TimestampNTZType):
-        day = c.cast("date")
-    elif isinstance(dtype, T.TimestampType):
-        day = _utc_date(c)
-    else:
-        raise ValueError(f"Cannot read dates from a column of type {dtype.simpleString()}")
-    return F.when(day.between(F.lit(FIRST_DATE).cast("date"), F.lit(LAST_DATE).cast("date")), day)
+    day = to_day(c, dtype, fmt)
+    return F.when(in_calendar(day), day)
 
 
 def normalize_ticker(c: Column, upper: bool = True) -> Column:

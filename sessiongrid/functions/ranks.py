@@ -5,39 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessiongrid.schema import quoted
+from sessiongrid.schema import quoted, require_date
 
-SLOTS = 64
+RANGES = 64
 
 
-def daily_ranks(df: DataFrame, value: str, out: str, *, pct: bool = True) -> DataFrame:
+def daily_ranks(df: DataFrame, value: str, out: str, *, pct: bool = True, ranges: int = RANGES) -> DataFrame:
     """(Date, value, rank): the ascending rank of every known value among those of its ``Date``.
 
-    Ties share their average rank; ``pct`` divides by the number of known values. ``Date`` must be a session date as made by ``to_session_date``.
+    Ties share their average rank; ``pct`` divides by the number of known values. ``Date`` must
+    be of type date, as made by ``to_session_date``.
 
     A session may hold any number of stocks, and a large part of them may share one value
     (unchanged prices all return 0). So no window is ever partitioned by ``Date`` alone:
 
     * equal values are counted first, which collapses them before the shuffle;
-    * up to 64 values per session, chosen by hash and therefore the same in every
+    * up to ``ranges`` values per session, chosen by hash and therefore the same in every
       evaluation, cut the distinct values into ranges; each range is ordered in its own task;
     * a range starts at the number of rows in the ranges before it.
 
-    The table of cuts has one row of at most 64 numbers per session, and sessions are bounded
-    by the date range, so it is broadcast.
+    More ranges suit sessions of very many distinct values. The table of cuts has one row of at
+    most ``ranges`` numbers per session; Spark broadcasts it if it is small.
     """
+    require_date(df)
     val = F.col(quoted(value))
     ties = df.filter(val.isNotNull()).groupBy("Date", val.alias("_value")).agg(F.count("*").alias("_ties"))
     # Always true; it keeps the plan of `ties` the same for all its uses, so they share one shuffle.
     ties = ties.filter(F.col("_ties") > 0)
 
     cuts = (
-        ties.groupBy("Date", F.pmod(F.xxhash64("_value"), F.lit(SLOTS)).alias("_slot"))
+        ties.groupBy("Date", F.pmod(F.xxhash64("_value"), F.lit(ranges)).alias("_slot"))
         .agg(F.min_by("_value", F.xxhash64(F.lit("cut"), F.col("_value"))).alias("_cut"))
         .groupBy("Date")
         .agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
     )
-    ranged = ties.join(F.broadcast(cuts), "Date").select(
+    ranged = ties.join(cuts, "Date").select(
         "Date",
         "_value",
         "_ties",
@@ -68,10 +70,17 @@ def daily_ranks(df: DataFrame, value: str, out: str, *, pct: bool = True) -> Dat
     )
 
 
-def add_daily_rank(df: DataFrame, value: str, out: str, *, pct: bool = True) -> DataFrame:
-    """Add the rank of ``value`` from ``daily_ranks``; a missing value has none."""
+def add_daily_rank(df: DataFrame, value: str, out: str, *, pct: bool = True, ranges: int = RANGES) -> DataFrame:
+    """Add the rank of ``value`` from ``daily_ranks``; a missing value has none.
+
+    ``df`` is used for its rows and for its ranks; pass a written table if it is expensive.
+    """
     columns = [name for name in df.columns if name != out]
     kept = df.select(*[quoted(name) for name in columns])
-    # The rank side has one row per value, so a value shared by many rows skews only the
-    # left side, which adaptive execution splits.
-    return kept.join(daily_ranks(df, value, out, pct=pct), ["Date", value], "left").select(*[quoted(name) for name in columns], quoted(out))
+    # The rank side has one row per value, so a value shared by many rows skews only the left
+    # side, which adaptive execution splits. Rows without a value match nothing; they are
+    # spread by a number of their own instead of meeting under one key.
+    spread = F.when(F.col(quoted(value)).isNull(), F.pmod(F.xxhash64(*[quoted(name) for name in columns]), F.lit(1 << 20)))
+    rows = kept.withColumn("_spread", F.coalesce(spread, F.lit(0)))
+    ranks = daily_ranks(df, value, out, pct=pct, ranges=ranges).withColumn("_spread", F.lit(0).cast("long"))
+    return rows.join(ranks, ["Date", value, "_spread"], "left").select(*[quoted(name) for name in columns], quoted(out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessiongrid.functions.columns import finite, normalize_ticker, to_double, to_session_date
+from sessiongrid.functions.columns import finite, in_calendar, normalize_ticker, to_day, to_double, to_session_date
 from sessiongrid.schema import QUOTE_COLUMNS, RAW_COLUMNS, quoted, require_columns
 
 CONFLICT = "Conflicting quotes for one date and ticker"
@@ -30,6 +30,18 @@ def drop_invalid_keys(quotes: DataFrame) -> DataFrame:
     return quotes.filter(F.col("Date").isNotNull() & (F.col("Ticker") != ""))
 
 
+def unusable_keys(raw: DataFrame, *, date_format: str | None = None) -> DataFrame:
+    """(reason, rows) of the rows without a usable key; reasons may overlap."""
+    kind = raw.schema["Date"].dataType
+    day, ticker = to_day(F.col("Date"), kind, date_format), normalize_ticker(F.col("Ticker"))
+    counts = raw.select(day.alias("day"), ticker.alias("ticker")).agg(
+        F.count_if(F.col("day").isNull()).alias("unreadable_date"),
+        F.count_if(~in_calendar(F.col("day"))).alias("date_out_of_range"),
+        F.count_if(F.coalesce(F.col("ticker"), F.lit("")) == "").alias("missing_ticker"),
+    )
+    return counts.unpivot([], counts.columns, "reason", "rows")
+
+
 def dedupe_quotes(quotes: DataFrame) -> DataFrame:
     """Distinct rows, missing equal to missing, with the number of ``Copies`` of each.
 

@@ -10,18 +10,26 @@ from pyspark.sql import functions as F
 from sessiongrid.functions.columns import any_null, holds, to_finite_double, to_session_date
 from sessiongrid.functions.ranks import add_daily_rank
 from sessiongrid.schema import FEATURES, SPLITS, quoted
+from sessiongrid.sources.storage import write_table
 
 
-def make_model_dataset(panel: DataFrame, *, labeled_only: bool = True) -> DataFrame:
+def make_model_dataset(panel: DataFrame, *, labeled_only: bool = True, scratch: str | None = None) -> DataFrame:
     """Eligible rows with ``target_rank``, the percent rank of the target within its day.
 
     With ``labeled_only=False`` rows whose next return is unknown stay, without a rank. The
     rank counts only kept rows with a known target.
+
+    Rows, ranks and later the purged dates are all taken from the kept rows. With ``scratch``,
+    a new path in shared storage that the caller removes when done, these are written there
+    once, so the panel is evaluated a single time; without it, once for each of those uses.
     """
     target = to_finite_double(F.col("target"), panel.schema["target"].dataType)
     kept = panel.withColumn("target", target).filter("SignalEligible")
     if labeled_only:
         kept = kept.filter(F.col("target").isNotNull())
+    if scratch is not None:
+        write_table(kept, scratch)
+        kept = panel.sparkSession.read.parquet(scratch)
     return add_daily_rank(kept, "target", "target_rank")
 
 
@@ -53,8 +61,8 @@ def add_date_splits(
 ) -> DataFrame:
     """Add ``Split``: train, validation or test by date, or purged.
 
-    One row whose label crosses a cut-off purges its whole date. The purged dates are a
-    subset of the sessions and thus bounded, so they are broadcast.
+    One row whose label crosses a cut-off purges its whole date. The purged dates are distinct
+    calendar days and thus bounded (see FIRST_DATE), so they are broadcast.
     ``validate`` looks for missing dates in a job of its own; otherwise one fails the query.
     """
     train_day, validation_day = _cutoff(train_end), _cutoff(validation_end)

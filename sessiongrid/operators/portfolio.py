@@ -9,27 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessiongrid.functions.columns import holds
-from sessiongrid.schema import MAX_SESSIONS
+from sessiongrid.functions.columns import holds, to_finite_double
+from sessiongrid.operators.clean import CONFLICT
+from sessiongrid.schema import require_date
 
 # Slots of the portfolio and the cost of each buy and each sell.
 TOP_K = 10
 COST = 0.001
 # Our choice: trading days in a year; the risk-free rate is taken as zero.
 DAYS_PER_YEAR = 252
-# A selection of at most this many rows (about 100 MB of keys) may be broadcast.
-BROADCAST_ROWS = 2_500_000
 
 
 def select_top(predictions: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(Date, Ticker, slot, weight) of the ``k`` highest predictions of each date.
+    """(Date, Ticker, slot, weight) of the ``k`` highest finite predictions of each date.
 
     Ties go by ticker. Each slot weighs 1/k, so unfilled slots stay in cash. Spark limits the
     groups inside each input task first, so at most ``k`` rows per date leave a task.
     """
     order = Window.partitionBy("Date").orderBy(F.desc("prediction"), "Ticker")
+    number = to_finite_double(F.col("prediction"), predictions.schema["prediction"].dataType)
     return (
-        predictions.filter("prediction IS NOT NULL")
+        predictions.withColumn("prediction", number)
+        .filter("prediction IS NOT NULL")
         .withColumn("slot", F.row_number().over(order))
         .filter(F.col("slot") <= k)
         .select("Date", "Ticker", "slot", F.lit(1.0 / k).alias("weight"))
@@ -38,14 +39,14 @@ def select_top(predictions: DataFrame, k: int = TOP_K) -> DataFrame:
 
 def benchmark_selection(eligible: DataFrame) -> DataFrame:
     """(Date, Ticker, weight): all eligible stocks of a date at equal weight."""
-    sizes = eligible.groupBy("Date").agg((F.lit(1.0) / F.count("*")).alias("weight"))
-    # One row per session, hence bounded.
+    sizes = require_date(eligible).groupBy("Date").agg((F.lit(1.0) / F.count("*")).alias("weight"))
+    # One row per calendar day, hence bounded.
     return eligible.select("Date", "Ticker").join(F.broadcast(sizes), "Date").select("Date", "Ticker", "weight")
 
 
 def uncovered_dates(selection: DataFrame, calendar: DataFrame) -> DataFrame:
     """Selection dates without a next session in the calendar."""
-    following = calendar.filter("NextDate IS NOT NULL").select("Date")
+    following = require_date(calendar).filter("NextDate IS NOT NULL").select("Date").distinct()
     return selection.select("Date").distinct().join(F.broadcast(following), "Date", "left_anti")
 
 
@@ -53,30 +54,26 @@ def _tradable(price: Column) -> Column:
     return holds((price > 0) & (price < F.lit(float("inf"))))
 
 
-def trades(
-    selection: DataFrame,
-    calendar: DataFrame,
-    quotes: DataFrame,
-    cost: float = COST,
-    *,
-    per_date: int | None = None,
-) -> DataFrame:
+def trades(selection: DataFrame, calendar: DataFrame, quotes: DataFrame, cost: float = COST) -> DataFrame:
     """One row per selected slot with its status and its contribution to the day's return.
 
     ``quotes`` are cleaned but unmasked, as only the open and the close of the entry session
     matter. No usable open leaves the slot in cash; an open without a usable close leaves
     the trade ``unresolved``, with NULL returns. Costs are charged on the traded value of
-    both sides.
+    both sides. Two different quotes of one traded key fail the job.
 
-    ``per_date`` promises a bound on the selected rows per date. If the selection is then
-    small for any calendar, its keys are broadcast to filter the quotes where they are read,
-    instead of shuffling all of them.
+    Only the quotes of entry dates are needed. These dates, bounded by the calendar, are
+    broadcast, and Spark moves the filter below the removal of copies to where quotes are read.
     """
-    sessions = calendar.filter("NextDate IS NOT NULL").select("Date", F.col("NextDate").alias("EntryDate"))
-    entries = selection.join(F.broadcast(sessions), "Date")
-    bars = quotes.select(F.col("Date").alias("EntryDate"), "Ticker", "Open", "Close")
-    if per_date is not None and per_date * MAX_SESSIONS <= BROADCAST_ROWS:
-        bars = bars.join(F.broadcast(entries.select("EntryDate", "Ticker")), ["EntryDate", "Ticker"], "left_semi")
+    sessions = require_date(calendar, "Date", "NextDate").filter("NextDate IS NOT NULL")
+    sessions = sessions.select("Date", F.col("NextDate").alias("EntryDate")).distinct()
+    entries = require_date(selection).join(F.broadcast(sessions), "Date")
+    days = entries.select(F.col("EntryDate").alias("Date")).distinct()
+    traded = quotes.join(F.broadcast(days), "Date", "left_semi").groupBy(F.col("Date").alias("EntryDate"), "Ticker")
+    conflict = F.raise_error(F.concat_ws(" ", F.lit(CONFLICT + ":"), F.col("EntryDate").cast("string"), F.col("Ticker")))
+    bars = traded.agg(F.count("*").alias("_n"), F.max("Open").alias("_open"), F.max("Close").alias("Close")).select(
+        "EntryDate", "Ticker", F.when(F.col("_n") > 1, conflict.cast("double")).otherwise(F.col("_open")).alias("Open"), "Close"
+    )
     held = entries.join(bars, ["EntryDate", "Ticker"], "left")
 
     status = (

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessiongrid.functions.columns import to_finite_double
 from sessiongrid.functions.ranks import daily_ranks
-from sessiongrid.sources.storage import stage
+from sessiongrid.sources.storage import write_table
 
 
 def submission_issues(predictions: DataFrame, eligible: DataFrame) -> DataFrame:
@@ -16,8 +17,9 @@ def submission_issues(predictions: DataFrame, eligible: DataFrame) -> DataFrame:
     and repeated keys collapse before it.
     """
     zero, one = F.lit(0), F.lit(1)
+    number = to_finite_double(F.col("prediction"), predictions.schema["prediction"].dataType)
     submitted = predictions.select(
-        "Date", "Ticker", one.alias("given"), F.col("prediction").isNull().cast("int").alias("bad"), zero.alias("due")
+        "Date", "Ticker", one.alias("given"), number.isNull().cast("int").alias("bad"), zero.alias("due")
     )
     expected = eligible.select("Date", "Ticker", zero.alias("given"), zero.alias("bad"), one.alias("due"))
     counts = (
@@ -43,28 +45,36 @@ def check_submission(predictions: DataFrame, eligible: DataFrame) -> None:
         raise ValueError(f"The submission does not match the eligible rows: {found}")
 
 
-def daily_spearman(predictions: DataFrame, dataset: DataFrame) -> DataFrame:
-    """(Date, n, score) over the rows that have a prediction and a known target.
+def daily_spearman(predictions: DataFrame, dataset: DataFrame, *, scratch: str | None = None) -> DataFrame:
+    """(Date, n, score, undefined) for every date with a prediction.
 
-    The score is the correlation of average ranks; it is NULL where it is undefined, as for
-    equal predictions. Plain ``corr`` would raise on those days.
+    The score is the correlation of average ranks over the rows that have a finite prediction
+    and a known target. It is NULL where it has no value, and ``undefined`` then says why:
+    ``no_known_target`` if there is no such row, ``constant`` if there is one row only or all
+    predictions or all targets are equal. Plain ``corr`` would raise on those days.
 
-    The matched pairs are written to the shared scratch folder by a job of their own, as
-    both rankings read them several times.
+    Both rankings and the scores use the matched pairs. With ``scratch``, a new path in shared
+    storage that the caller removes when done, the pairs are written there once; without it
+    they are matched for each use.
     """
     known = dataset.select("Date", "Ticker", "target").filter("target IS NOT NULL")
-    pairs = predictions.filter("prediction IS NOT NULL").select("Date", "Ticker", "prediction").join(
-        known, ["Date", "Ticker"]
-    )
-    pairs = stage(pairs, "pairs")
+    number = to_finite_double(F.col("prediction"), predictions.schema["prediction"].dataType)
+    given = predictions.select("Date", "Ticker", number.alias("prediction"))
+    pairs = given.filter("prediction IS NOT NULL").join(known, ["Date", "Ticker"])
+    if scratch is not None:
+        write_table(pairs, scratch)
+        pairs = predictions.sparkSession.read.parquet(scratch)
     predicted = daily_ranks(pairs, "prediction", "_predicted", pct=False)
     realised = daily_ranks(pairs, "target", "_realised", pct=False)
     ranked = pairs.join(predicted, ["Date", "prediction"]).join(realised, ["Date", "target"])
     spread = F.stddev_pop("_predicted") * F.stddev_pop("_realised")
-    return ranked.groupBy("Date").agg(
+    scores = ranked.groupBy("Date").agg(
         F.count("*").alias("n"),
         F.try_divide(F.covar_pop("_predicted", "_realised"), spread).alias("score"),
     )
+    why = F.when(F.col("n").isNull(), "no_known_target").when(F.col("score").isNull(), "constant")
+    dates = given.select("Date").distinct()
+    return dates.join(scores, "Date", "left").select("Date", F.coalesce("n", F.lit(0)).alias("n"), "score", why.alias("undefined"))
 
 
 def spearman_summary(daily: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessiongrid.operators.clean import clean_quotes
+from sessiongrid.operators.clean import check_quotes, clean_quotes
 from sessiongrid.operators.dataset import split_rows
 from sessiongrid.operators.grid import session_calendar
 from sessiongrid.operators.portfolio import (
@@ -22,6 +22,7 @@ from sessiongrid.operators.portfolio import (
     uncovered_dates,
 )
 from sessiongrid.operators.scoring import check_submission, daily_spearman, spearman_summary
+from sessiongrid.sources.storage import write_table
 
 MODEL, BENCHMARK = "model", "equal_weight_eligible"
 RULES = "signal after close; buy next session open, sell its close; cash overnight; no shorts"
@@ -70,17 +71,23 @@ def backtest(
     cost: float = COST,
     split: str = "test",
     validate: bool = True,
+    scratch: str | None = None,
 ) -> BacktestResult:
     """Score predictions for one split and trade the top ``k`` against all eligible stocks.
 
     ``predictions`` are as returned by ``normalize_predictions``; ``raw_quotes`` are the raw
-    rows the panel was made from; ``dataset`` carries ``Split`` and keeps unlabeled rows.
-    ``validate`` raises unless the submission covers exactly the eligible rows.
+    rows the panel was made from; ``dataset`` carries ``Split`` and keeps unlabeled rows. Pass a
+    written dataset, as several results read it.
+    ``validate`` raises unless the submission covers exactly the eligible rows and the quotes
+    hold no conflict. Without it predictions for other keys are left out, and a conflict fails
+    the query that meets it. ``scratch`` is handed to ``daily_spearman``.
     """
     eligible = split_rows(dataset, split, labeled=False)
+    quotes = clean_quotes(raw_quotes)
     if validate:
         check_submission(predictions, eligible)
-    quotes = clean_quotes(raw_quotes)
+        check_quotes(quotes)
+    predictions = predictions.join(eligible.select("Date", "Ticker"), ["Date", "Ticker"], "left_semi")
     calendar = session_calendar(quotes)
 
     top = select_top(predictions, k)
@@ -92,7 +99,7 @@ def backtest(
     daily = complete_days(daily_returns(traded), calendar, eligible)
 
     left_out = uncovered_dates(eligible, calendar)
-    scores = spearman_summary(daily_spearman(predictions, eligible))
+    scores = spearman_summary(daily_spearman(predictions, eligible, scratch=scratch))
     of_model = F.col("Portfolio") == MODEL
     results = portfolio_metrics(daily).select(
         "*",
@@ -100,7 +107,7 @@ def backtest(
             F.when(of_model, scores.select(name).scalar()).alias(name)
             for name in ("scored_dates", "undefined_dates", "mean_score")
         ],
-        left_out.agg(F.array_sort(F.collect_list("Date"))).scalar().alias("uncovered_dates"),
+        left_out.agg(F.array_join(F.array_sort(F.collect_list(F.col("Date").cast("string"))), " ")).scalar().alias("uncovered_dates"),
         F.when(of_model, F.lit(k)).alias("slots"),
         F.lit(float(cost)).alias("cost_per_side"),
         F.lit(DAYS_PER_YEAR).alias("days_per_year"),
@@ -108,3 +115,13 @@ def backtest(
         F.lit(RULES).alias("rules"),
     )
     return BacktestResult(daily, results, traded, left_out)
+
+
+def write_backtest(result: BacktestResult, out: str, format: str = "csv", mode: str = "errorifexists") -> None:
+    """Save daily returns, results and trades below ``out``, in order of portfolio and date."""
+    for name, table, order in (
+        ("daily", result.daily, ["Portfolio", "Date"]),
+        ("results", result.results, ["Portfolio"]),
+        ("trades", result.trades, ["Portfolio", "Date", "Ticker"]),
+    ):
+        write_table(table, f"{out}/{name}", format, mode, sort_by=order)

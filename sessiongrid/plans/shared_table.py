@@ -11,9 +11,9 @@ from sessiongrid.operators.clean import check_quotes, clean_quotes
 from sessiongrid.operators.dataset import add_date_splits, check_model_table, make_model_dataset, split_summary
 from sessiongrid.operators.quality import audit, tickers_without_quotes
 from sessiongrid.plans.panel import checked_panel, public_panel
-from sessiongrid.schema import export_columns
-from sessiongrid.sources.files import check_raw_prices, conform_tickers
-from sessiongrid.sources.storage import fingerprint, write_table
+from sessiongrid.schema import KEY_COLUMNS, export_columns
+from sessiongrid.sources.files import check_raw_prices, conform_tickers, read_constituents, read_wide_prices, wide_to_long
+from sessiongrid.sources.storage import fingerprint, use_saved, write_table
 
 
 @dataclass(frozen=True)
@@ -42,11 +42,14 @@ def build_shared_table(
 ) -> SharedTable:
     """Build the model table under ``out`` and return it with its panel and reports.
 
-    ``prices`` are long quotes, ``details`` the expected tickers with their details. Three
-    tables are written, each read back by what follows: the distinct quotes, the panel with
-    its reason flags, and the model table.
+    ``prices`` are long quotes, ``details`` the expected tickers with their details. Each table
+    that is written is read back by what follows: the conformed raw quotes, the distinct
+    quotes, the panel with its reason flags, the eligible rows, and the model table in order of
+    date and ticker. ``prices`` are read only for the first: for its quotes, its tickers and its
+    dates.
     """
-    raw = conform_tickers(prices, details)
+    write_table(conform_tickers(prices, details), f"{out}/raw", mode=settings.mode)
+    raw = spark.read.parquet(f"{out}/raw")
     check_raw_prices(raw, settings.start, settings.end)
 
     write_table(clean_quotes(raw), f"{out}/quotes", mode=settings.mode)
@@ -57,10 +60,12 @@ def build_shared_table(
     checked = spark.read.parquet(f"{out}/panel")
     panel = public_panel(checked)
 
-    dataset = make_model_dataset(panel, labeled_only=False)
+    write_table(panel.filter("SignalEligible"), f"{out}/eligible", mode=settings.mode)
+    dataset = make_model_dataset(spark.read.parquet(f"{out}/eligible"), labeled_only=False)
     model = export_columns(add_date_splits(dataset, settings.train_end, settings.validation_end))
     path = f"{out}/model_data"
-    write_table(model, path, settings.format, settings.mode, None if settings.format == "csv" else "Split")
+    split = None if settings.format == "csv" else "Split"
+    write_table(model, path, settings.format, settings.mode, split, sort_by=KEY_COLUMNS)
     reader = spark.read.schema(model.schema).format(settings.format)
     saved = export_columns(reader.option("header", True).load(path) if settings.format == "csv" else reader.load(path))
     check_model_table(saved)
@@ -72,3 +77,20 @@ def build_shared_table(
         summary=split_summary(saved),
         fingerprint=fingerprint(saved),
     )
+
+
+def build_from_files(
+    spark: SparkSession, constituents: str, prices: str, out: str, settings: Settings = Settings(), *, refresh: bool = False
+) -> SharedTable:
+    """The whole way from a constituents file and a wide price file to the shared table.
+
+    Both inputs are saved below ``out`` (constituents by ticker, quotes by date and ticker) and
+    reused by later builds, unless ``refresh`` is wanted or one of them is incomplete.
+    """
+    saved = [f"{out}/inputs/constituents", f"{out}/inputs/prices"]
+    if not use_saved(spark, saved, refresh):
+        quotes = wide_to_long(read_wide_prices(spark, prices))
+        write_table(read_constituents(spark, constituents), saved[0], mode="overwrite", sort_by=["Ticker"])
+        write_table(quotes, saved[1], mode="overwrite", sort_by=KEY_COLUMNS)
+    details, quotes = (spark.read.parquet(path) for path in saved)
+    return build_shared_table(spark, quotes, details, out, settings)

@@ -50,11 +50,11 @@ PANEL_COLUMNS = [
     "target",
 ]
 
-# Dates outside the whole years of a nanosecond calendar are missing. The range also bounds
-# every per-session table (see MAX_SESSIONS), which is what makes it safe to broadcast.
-FIRST_DATE = "1678-01-01"
-LAST_DATE = "2261-12-31"
-MAX_SESSIONS = 213_305
+# The first and last day of a calendar that counts 64-bit nanoseconds. Other
+# days are missing, and counted as such by ``unusable_keys``. A table with one row per date
+# thus has at most 213,504 rows.
+FIRST_DATE = "1677-09-21"
+LAST_DATE = "2262-04-11"
 
 MODEL_SCHEMA = T.StructType(
     [
@@ -74,6 +74,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def require_date(df: DataFrame, *names: str) -> DataFrame:
+    """``df``, once its columns ``names`` (by default ``Date``) are known to be of type date."""
+    for name in names or ("Date",):
+        kind = df.schema[name].dataType
+        if not isinstance(kind, T.DateType):
+            raise ValueError(f"{name} has to be a date, not {kind.simpleString()}; see to_session_date.")
+    return df
+
+
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Keep exactly ``names``, in order; raise if any is absent."""
     absent = sorted(set(names) - set(df.columns))

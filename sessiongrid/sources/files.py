@@ -46,7 +46,10 @@ def read_wide_prices(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField(name, _TEXT) for name in ["Date", *names]])
     reader = spark.read.schema(schema).option("maxColumns", len(schema) + 1).option("header", False)
     header_cells = [cell for cell in (tickers[0], fields[0], "Date") if cell]
-    body = reader.csv(path).filter(F.col("Date").isNull() | ~F.col("Date").isin(header_cells))
+    lines = reader.csv(path)
+    # A header line whose first cell is blank is known by its second.
+    blank = F.col("Date").isNull() & F.col(quoted(names[0])).isin(tickers[1], fields[1]) if names else F.lit(False)
+    body = lines.filter((F.col("Date").isNull() | ~F.col("Date").isin(header_cells)) & ~F.coalesce(blank, F.lit(False)))
     return body.select(
         to_session_date(F.col("Date"), _TEXT).alias("Date"),
         *[to_finite_double(F.col(quoted(name)), _TEXT).alias(name) for name in names],
@@ -77,14 +80,16 @@ def wide_to_long(wide: DataFrame, fields=tuple(QUOTE_COLUMNS)) -> DataFrame:
 def conform_tickers(quotes: DataFrame, tickers: DataFrame) -> DataFrame:
     """Quotes of the expected tickers only; an expected ticker without any gets missing quotes.
 
-    Such a ticker gets a row per date present, as a column of missing values in a wide file
-    would. The list of dates is a single bounded value.
+    Such a ticker gets a row per session date present, as a column of missing values in a wide
+    file would. Dates are made session dates first, so that the list of them is a single value
+    bounded by the calendar; unreadable ones stay as rows without a date, to be counted later.
     """
     quotes = require_columns(quotes, [*KEY_COLUMNS, *QUOTE_COLUMNS])
+    quotes = quotes.withColumn("Date", to_session_date(F.col("Date"), quotes.schema["Date"].dataType))
     expected = tickers.select("Ticker").distinct()
     kept = quotes.join(expected, "Ticker", "left_semi")
     absent = expected.join(quotes.select("Ticker").distinct(), "Ticker", "left_anti")
-    dates = quotes.select("Date").distinct().agg(F.array_sort(F.collect_list("Date"))).scalar()
+    dates = quotes.filter("Date IS NOT NULL").select("Date").distinct().agg(F.array_sort(F.collect_list("Date"))).scalar()
     empty = [F.lit(None).cast(quotes.schema[name].dataType).alias(name) for name in QUOTE_COLUMNS]
     filler = absent.select(F.explode(dates).alias("Date"), "Ticker", *empty)
     return kept.select(*[quoted(name) for name in quotes.columns]).unionByName(filler)
@@ -112,7 +117,8 @@ def check_raw_prices(quotes: DataFrame, start: str, end: str) -> None:
     require_columns(quotes, [*KEY_COLUMNS, *QUOTE_COLUMNS])
     report = raw_price_report(quotes, start, end).first()
     if report["rows"] == 0 or report["repeated_keys"]:
-        raise ValueError("Price dates are missing or repeated.")
+        found = f"{report['repeated_keys']} keys have several rows" if report["rows"] else "the table is empty"
+        raise ValueError(f"The raw prices cannot be used: {found}.")
     if report["rows_out_of_range"]:
         raise ValueError(f"{report['rows_out_of_range']} prices lie outside {start} to {end} (exclusive).")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -12,8 +13,22 @@ from pyspark.sql import functions as F
 from sessiongrid.schema import quoted
 
 
-def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists", partition_by=None) -> None:
-    """Write ``df``; an existing table is only replaced with ``mode="overwrite"``."""
+def write_table(
+    df: DataFrame,
+    path: str,
+    format: str = "parquet",
+    mode: str = "errorifexists",
+    partition_by: str | None = None,
+    sort_by: Sequence[str] = (),
+) -> None:
+    """Write ``df``; an existing table is only replaced with ``mode="overwrite"``.
+
+    With ``sort_by`` the files follow each other in that order: rows are cut into ranges, each
+    sorted and written by its own task. Inside a partition folder the order is the same.
+    """
+    if sort_by:
+        ranges = df.repartitionByRange(*[quoted(name) for name in sort_by])
+        df = ranges.sortWithinPartitions(*[quoted(name) for name in [*([partition_by] if partition_by else []), *sort_by]])
     writer = df.write.mode(mode).format(format)
     if format == "csv":
         writer = writer.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
@@ -58,7 +73,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach.")
         root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,8 +8,10 @@ import random
 import statistics
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from sessiongrid.operators.clean import clean_quotes
 from sessiongrid.operators.grid import session_calendar
 from sessiongrid.operators.portfolio import (
     benchmark_selection,
@@ -20,11 +22,12 @@ from sessiongrid.operators.portfolio import (
     uncovered_dates,
 )
 from sessiongrid.operators.scoring import check_submission, daily_spearman, spearman_summary, submission_issues
-from sessiongrid.plans.backtest import BENCHMARK, MODEL, backtest
+from sessiongrid.plans.backtest import BENCHMARK, MODEL, backtest, write_backtest
 from sessiongrid.sources.files import normalize_predictions
 
 D = [dt.date(2024, 1, day) for day in (2, 3, 4, 5, 8)]
 PREDICTED = "Date date, Ticker string, prediction double"
+BARS = "Date date, Ticker string, Open double, High double, Low double, Close double, `Adj Close` double, Volume double"
 QUOTED = "Date date, Ticker string, Open double, Close double"
 
 
@@ -45,7 +48,7 @@ def ranks(values):
     return [sum(o < v for o in values) + (values.count(v) + 1) / 2 for v in values]
 
 
-def test_daily_spearman(spark):
+def test_daily_spearman(spark, tmp_path):
     pick = random.Random(5)
     rows = [(D[0], f"T{i}", float(pick.randint(0, 9)), pick.gauss(0, 1)) for i in range(40)]
     rows += [(D[1], f"T{i}", 1.0, pick.gauss(0, 1)) for i in range(5)]
@@ -53,13 +56,19 @@ def test_daily_spearman(spark):
     rows += [(D[4], "T2", None, 0.4)]
     df = spark.createDataFrame(rows, "Date date, Ticker string, prediction double, target double")
     daily = daily_spearman(df.drop("target"), df.drop("prediction"))
-    scores = {row["Date"]: (row["n"], row["score"]) for row in daily.collect()}
+    found = daily.collect()
+    scores = {row["Date"]: (row["n"], row["score"]) for row in found}
+    reasons = {row["Date"]: row["undefined"] for row in found}
+    assert reasons == {D[0]: None, D[1]: "constant", D[2]: "constant", D[3]: "no_known_target", D[4]: None}
+    written = daily_spearman(df.drop("target"), df.drop("prediction"), scratch=str(tmp_path / "pairs"))
+    again = {row["Date"]: row["score"] for row in written.collect()}
+    assert again == {day: pytest.approx(score) if score is not None else None for day, (_, score) in scores.items()}
     a, b = ([row[i] for row in rows if row[0] == D[0]] for i in (2, 3))
     assert scores[D[0]] == (40, pytest.approx(statistics.correlation(ranks(a), ranks(b))))
     assert scores[D[1]] == (5, None) and scores[D[2]] == (1, None)
-    assert D[3] not in scores and scores[D[4]] == (2, pytest.approx(-1.0))
+    assert scores[D[3]] == (0, None) and scores[D[4]] == (2, pytest.approx(-1.0))
     summary = spearman_summary(daily).first()
-    assert (summary["scored_dates"], summary["undefined_dates"]) == (2, 2)
+    assert (summary["scored_dates"], summary["undefined_dates"]) == (2, 3)
     assert summary["mean_score"] == pytest.approx((scores[D[0]][1] - 1.0) / 2)
 
 
@@ -76,8 +85,7 @@ def test_select_top(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-@pytest.mark.parametrize("per_date", [None, 10])
-def test_trades_and_daily_returns(spark, per_date):
+def test_trades_and_daily_returns(spark):
     quotes = spark.createDataFrame(
         [(D[0], t, 9.0, 9.0) for t in "ABC"]
         + [(D[1], "A", 10.0, 11.0), (D[1], "C", 5.0, 4.0)]
@@ -86,7 +94,7 @@ def test_trades_and_daily_returns(spark, per_date):
     )
     chosen = spark.createDataFrame([(day, t, 0.1) for day in D[:3] for t in "ABC"], "Date date, Ticker string, weight double")
     calendar = session_calendar(quotes)
-    done = trades(chosen, calendar, quotes, per_date=per_date)
+    done = trades(chosen, calendar, quotes)
     rows = {(row["Date"], row["Ticker"]): row for row in done.collect()}
     assert set(rows) == {(day, t) for day in D[:2] for t in "ABC"}
     a, b, c = (rows[D[0], t] for t in "ABC")
@@ -102,11 +110,41 @@ def test_trades_and_daily_returns(spark, per_date):
     assert [row["Date"] for row in uncovered_dates(chosen, calendar).collect()] == [D[2]]
 
 
-def test_small_selection_filters_quotes_by_broadcast(spark):
-    quotes = spark.createDataFrame([(D[0], "A", 1.0, 1.0), (D[1], "A", 1.0, 1.0)], QUOTED)
+def test_quotes_are_cut_to_entry_dates_where_they_are_read(spark):
+    bars = spark.createDataFrame([(D[0], "A", *[1.0] * 6), (D[1], "A", *[1.0] * 6)], BARS)
+    quotes = clean_quotes(bars)
     chosen = spark.createDataFrame([(D[0], "A", 0.1)], "Date date, Ticker string, weight double")
-    plan = lambda n: trades(chosen, session_calendar(quotes), quotes, per_date=n)._jdf.queryExecution().toString()
-    assert "LeftSemi" in plan(10) and "LeftSemi" not in plan(1000) and "LeftSemi" not in plan(None)
+    plan = trades(chosen, session_calendar(quotes), quotes)._jdf.queryExecution().optimizedPlan().toString()
+    # The copies are removed above the filter by date, so only quotes of entry dates are shuffled.
+    semi = next(line for line in plan.splitlines() if "LeftSemi" in line)
+    copies = next(line for line in plan.splitlines() if "Aggregate" in line and "Adj Close" in line)
+    assert semi.index("Join") > copies.index("Aggregate")
+
+
+def test_conflicting_quotes_are_not_traded(spark):
+    quotes = spark.createDataFrame([(D[0], "A", 1.0, 1.0), (D[1], "A", 1.0, 2.0), (D[1], "A", 1.0, 1.5)], QUOTED)
+    chosen = spark.createDataFrame([(D[0], "A", 0.1)], "Date date, Ticker string, weight double")
+    with pytest.raises(PySparkException, match="Conflicting quotes"):
+        trades(chosen, session_calendar(quotes), quotes).collect()
+
+
+def test_dates_have_to_be_dates(spark):
+    quotes = spark.createDataFrame([(D[0], "A", 1.0, 1.0)], QUOTED)
+    chosen = spark.createDataFrame([("2024-01-02", "A", 0.1)], "Date string, Ticker string, weight double")
+    with pytest.raises(ValueError, match="has to be a date"):
+        trades(chosen, session_calendar(quotes), quotes)
+    with pytest.raises(ValueError, match="has to be a date"):
+        benchmark_selection(chosen)
+
+
+@pytest.mark.parametrize("kind", ["double", "string"])
+def test_only_finite_predictions_count(spark, kind):
+    rows = [(D[0], t, v) for t, v in zip("ABCDE", (1.0, math.nan, math.inf, -math.inf, 3.0), strict=True)]
+    given = spark.createDataFrame(rows, "Date date, Ticker string, prediction double")
+    given = given.withColumn("prediction", F.col("prediction").cast(kind))
+    assert [r["Ticker"] for r in select_top(given, 2).orderBy("slot").collect()] == ["E", "A"]
+    issues = {(r["issue"], r["Ticker"]) for r in submission_issues(given, given).collect()}
+    assert issues == {("not_finite", t) for t in "BCD"}
 
 
 def test_benchmark_weights(spark):
@@ -161,7 +199,7 @@ def test_backtest(market_days):
     assert daily[MODEL, D[0]]["net"] == pytest.approx(statistics.mean(moves[2:]) - cost)
     results = {row["Portfolio"]: row for row in result.results.collect()}
     model, market = results[MODEL], results[BENCHMARK]
-    assert model["uncovered_dates"] == [D[4]] and [row["Date"] for row in result.uncovered.collect()] == [D[4]]
+    assert model["uncovered_dates"] == str(D[4]) and [row["Date"] for row in result.uncovered.collect()] == [D[4]]
     assert model["mean_score"] == pytest.approx(1.0) and model["scored_dates"] == 3 and market["mean_score"] is None
     nets = [daily[MODEL, day]["net"] for day in D[:4]]
     assert model["cumulative_net"] == pytest.approx(math.prod(1 + net for net in nets) - 1)
@@ -170,6 +208,27 @@ def test_backtest(market_days):
     assert result.trades.filter(F.col("Portfolio") == MODEL).count() == 30
 
 
+def test_backtest_without_checks(market_days):
+    predictions, quotes, dataset = market_days
+    stray = predictions.withColumn("Ticker", F.lit("T99"))
+    plain, other = backtest(*market_days), backtest(predictions.unionByName(stray), quotes, dataset, validate=False)
+    assert sorted(map(str, plain.daily.collect())) == sorted(map(str, other.daily.collect()))
+    twice = quotes.unionByName(quotes.filter("Ticker = 'T05'").withColumn("Volume", F.lit(7.0)))
+    with pytest.raises(ValueError, match="Conflicting quotes"):
+        backtest(predictions, twice, dataset)
+    with pytest.raises(PySparkException, match="Conflicting quotes"):
+        backtest(predictions, twice, dataset, validate=False).daily.collect()
+
+
+def test_backtest_results_can_be_written(spark, market_days, tmp_path):
+    result = backtest(*market_days)
+    for format in ("csv", "parquet"):
+        write_backtest(result, str(tmp_path / format), format)
+    saved = spark.read.option("header", True).csv(str(tmp_path / "csv" / "results"))
+    assert saved.columns == result.results.columns and saved.count() == 2
+    assert spark.read.parquet(str(tmp_path / "parquet" / "trades")).count() == result.trades.count()
+
+
 def test_backtest_refuses_incomplete_submissions(market_days):
     predictions, quotes, dataset = market_days
     with pytest.raises(ValueError, match="'missing': 4"):

@@ -36,6 +36,7 @@ def test_date_text(spark):
         "2021-05-06T23:30:00.25Z": day,
         "2021": None,
         "2021-05": None,
+        "2021-05-06T": day,
         "12:30": None,
         "06/05/2021": None,
         "2021-02-30": None,
@@ -44,6 +45,21 @@ def test_date_text(spark):
         None: None,
         "1600-01-01": None,
         "2300-01-01": None,
+        "1677-09-20": None,
+        "1677-09-21": dt.date(1677, 9, 21),
+        "2262-04-11T23:59Z": dt.date(2262, 4, 11),
+        "2262-04-12": None,
+        "2021-05-06 23:30-05:00": dt.date(2021, 5, 7),
+        "2021-5-6 23:30-5": dt.date(2021, 5, 7),
+        "2021-05-06T01:15:00.5+0530": dt.date(2021, 5, 5),
+        "2021-05-06 00:10 -0:30": day,
+        "2021-05-06 23:30:00 America/New_York": None,
+        "20210506": day,
+        "20210506 23:30-05": dt.date(2021, 5, 7),
+        "2021/05/06": day,
+        "2021/5/6 07:00": day,
+        "2021-05/06": None,
+        "2021-05-06 25:00": None,
     }
     assert one_column(spark, lambda c: to_session_date(c, T.StringType()), list(cases)) == list(cases.values())
     with_format = one_column(spark, lambda c: to_session_date(c, T.StringType(), "dd/MM/yyyy"), ["06/05/2021", "2021-05-06"])
