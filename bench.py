@@ -34,6 +34,7 @@ HEADLINE = [
     "trades",
     "benchmark_returns",
     "portfolio_metrics",
+    "backtest_results",
 ]
 
 

@@ -333,6 +333,20 @@ quotes AS (
 {SPLITS}"""
 
 
+def _hashed(name: str, expression: str) -> str:
+    if name in {*FEATURES, "target", "target_rank"}:
+        expression = f"CAST(round({expression} * 100000000.0::DOUBLE) AS HUGEINT)"
+    text = f"CAST({expression} AS VARCHAR)"
+    return f"coalesce(length({text}) || ':' || {text}, '-')"
+
+
+# Columns of the model table by name, each with its length in front.
+ROW_TEXT = " || ".join(
+    _hashed(name, {"Date": "d", "Ticker": "t", "Split": "split", "LabelEndDate": "lend"}.get(name, name))
+    for name in sorted(["Date", "Ticker", "Split", "LabelEndDate", *FEATURES, "target", "target_rank"])
+)
+
+
 def query(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
@@ -499,6 +513,10 @@ UNION ALL SELECT 'test_rows', count(*) FROM splits WHERE split = 'test'""",
     ),
     "build_shared_table": query(SHARED, f"SELECT {MODEL_COLUMNS} FROM splits"),
     "csv_roundtrip": query(f"{CLEAN}, {SPLITS}", f"SELECT {MODEL_COLUMNS} FROM splits"),
+    "dataset_fingerprint": query(
+        f"{CLEAN}, {SPLITS}, hashed AS (SELECT CAST('0x' || substr(md5({ROW_TEXT}), 1, 15) AS BIGINT) AS h FROM splits)",
+        "SELECT count(*) AS rows, bit_xor(h) AS xor_hash, CAST(sum(CAST(h AS HUGEINT)) AS DECIMAL(38, 0)) AS sum_hash FROM hashed",
+    ),
     "submission_issues": query(
         f"""{EVALUATED},
 numbered AS (SELECT *, CAST(substr(t, 3) AS INTEGER) % 11 AS k FROM predictions)""",

@@ -403,7 +403,7 @@ def csv_roundtrip(spark, sf):
 
 
 def dataset_fingerprint(spark, sf):
-    return fingerprint(export_columns(_splits(spark, sf)))
+    return fingerprint(export_columns(_splits(spark, sf)), digits=8)
 
 
 # --- evaluation -----------------------------------------------------------------------

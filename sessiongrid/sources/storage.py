@@ -7,8 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessiongrid.schema import quoted
 
@@ -90,15 +91,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
+def fingerprint(df: DataFrame, digits: int = 12) -> DataFrame:
     """Row count and two order-free digests of the rows: equal tables give equal values.
 
-    Rows are hashed as JSON with explicit nulls, because hashing the bare columns would not
-    tell (NULL, 1) from (1, NULL). The sum also counts copies, which cancel out in the xor.
+    A row is hashed as the text of its columns by name: the length of each value and the value,
+    or ``-`` for NULL, so (NULL, 1) differs from (1, NULL) and no separator can be faked. Doubles
+    count to ``digits`` decimals. The hash is the first 60 bits of an MD5, so any engine that
+    has it can check the digests. The sum also counts copies, which cancel out in the xor.
     """
-    columns = [quoted(name) for name in sorted(df.columns)]
-    row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    hashed = df.select(F.xxhash64(row).alias("h"))
+
+    def text(field: T.StructField) -> Column:
+        value = F.col(quoted(field.name))
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            value = (value * F.lit(10.0**digits)).try_cast("decimal(38,0)")
+        value = value.cast("string")
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    row = F.concat(*[text(field) for field in sorted(df.schema, key=lambda field: field.name)])
+    hashed = df.select(F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long").alias("h"))
     return hashed.agg(
         F.count("*").alias("rows"),
         F.bit_xor("h").alias("xor_hash"),
