@@ -223,3 +223,15 @@ def test_another_tokenizer_encodes_whole_texts(spark, tmp_path):
 def test_rows_of_one_key_stay_apart(spark):
     found = exact_dedup(spark.range(3).select(F.lit(5).cast("long").alias("doc_id"), F.lit("x").alias("text")))
     assert sorted(r.kept for r in found.collect()) == [False, False, True]
+
+
+def test_exact_dedup_against_sql(spark):
+    from pathlib import Path
+
+    from sessiongrid.llm.queries import ORACLES, QUERIES
+    from tests.compare import differences, duck
+
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("needs the generated tables")
+    found = QUERIES["op7_exact_dedup"](spark, "/root/testdata/sf0.001")
+    assert differences(found, duck("/root/testdata/sf0.001").execute(ORACLES["op7_exact_dedup"])) is None
