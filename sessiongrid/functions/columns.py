@@ -24,10 +24,10 @@ WHITESPACE = (
 )
 # A day as 2021-05-06, 2021/5/6 or 20210506, then perhaps a time, then perhaps an offset.
 # Names of time zones do not match, so such text is missing.
-_DAY = r"^\s*(\d{4})(?:([-/])(\d{1,2})\2(\d{1,2})|(\d{2})(\d{2}))"
-_TIME = r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)"
-_LOCAL = rf"{_DAY}(?:[T\s]\s*{_TIME}|[T\s])?\s*$"
-_INSTANT = rf"{_DAY}[T\s]\s*{_TIME}\s*(Z|[+-]\d{{1,2}}):?(\d{{2}})?\s*$"
+_DAY_TIME_OFFSET = (
+    r"^\s*(\d{4})(?:([-/])(\d{1,2})\2(\d{1,2})|(\d{2})(\d{2}))"
+    r"(?:[T\s]\s*(?:(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(?:Z|([+-]\d{1,2})(?::?(\d{2}))?)?)?)?\s*$"
+)
 # Spark reads a Java type suffix ("1.5d") as part of a number.
 _NUMBER_SUFFIX = r"[dDfF]\s*$"
 
@@ -37,13 +37,22 @@ def _utc_date(instant: Column) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / F.lit(86400.0)).cast("int"))
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _text_to_day(c: Column) -> Column:
-    local = F.trim(F.regexp_replace(c, _LOCAL, r"$1-$3$5-$4$6 $7")).try_cast("timestamp_ntz").cast("date")
-    part = lambda groups: F.regexp_replace(c, _INSTANT, groups)
-    hours, minutes = (F.coalesce(part(group).try_cast("int"), F.lit(0)) for group in ("$8", "$9"))
-    shift = hours * 60 + F.when(part("$8").startswith("-"), -minutes).otherwise(minutes)
-    instant = part(r"$1-$3$5-$4$6 $7").try_cast("timestamp_ntz") - F.make_dt_interval(mins=shift)
-    return F.when(c.rlike(_LOCAL), local).when(c.rlike(_INSTANT), instant.cast("date"))
+    def day(parts: Column) -> Column:
+        at = lambda i: F.get(parts, F.lit(i))
+        hours, minutes = (F.coalesce(at(i).try_cast("int"), F.lit(0)) for i in (1, 2))
+        shift = hours * 60 + F.when(at(1).startswith("-"), -minutes).otherwise(minutes)
+        local = F.trim(at(0)).try_cast("timestamp_ntz")
+        return F.when(F.size(parts) == 3, (local - F.make_dt_interval(mins=shift)).cast("date"))
+
+    # Text that does not match keeps its form, which has no bars and so is not cut in three.
+    parts = F.split(F.regexp_replace(c, _DAY_TIME_OFFSET, r"$1-$3$5-$4$6 $7|$8|$9"), r"\|", -1)
+    return F.when(~c.contains("|"), _once(parts, day))
 
 
 def to_day(c: Column, dtype: T.DataType, fmt: str | None = None) -> Column:
@@ -72,8 +81,7 @@ def to_session_date(c: Column, dtype: T.DataType, fmt: str | None = None) -> Col
     ``fmt`` gives another pattern. Without an offset it is taken as UTC. Days outside the
     calendar are NULL.
     """
-    day = to_day(c, dtype, fmt)
-    return F.when(in_calendar(day), day)
+    return _once(to_day(c, dtype, fmt), lambda day: F.when(in_calendar(day), day))
 
 
 def normalize_ticker(c: Column, upper: bool = True) -> Column:
