@@ -40,9 +40,9 @@ from sessiongrid.sources.storage import stage
 
 THRESHOLD = 80  # percent
 WIDTH = 5
-SHINGLES_PER_RANGE = 3_000_000
+SHINGLES_PER_RANGE = 1_000_000
 SETS_PER_PART = 1_000_000
-PACKED = 1_500_000  # shingles packed at once in a task
+PACKED = 700_000  # shingles packed at once in a task
 BLOCK_TEXTS = 3000
 HEAP = 2000  # more list entries than this are merged by sorting them at once
 
@@ -361,8 +361,10 @@ def jaccard_components(
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [(digest(s), s.astype("<u8").tobytes()) for s in shingle_sets(batch["text"].tolist(), width)]
-            yield pd.DataFrame({"id": batch["id"], "node": [d for d, _ in sets], "tokens": [t for _, t in sets]})
+            for lo in range(0, len(batch), 1000):
+                own = batch.iloc[lo : lo + 1000]
+                sets = [(digest(s), s.astype("<u8").tobytes()) for s in shingle_sets(own["text"].tolist(), width)]
+                yield pd.DataFrame({"id": own["id"], "node": [d for d, _ in sets], "tokens": [t for _, t in sets]})
 
     kind = rows.schema["id"].dataType.simpleString()
     texts = keep_rows(rows, chosen, "id").mapInPandas(tokens, f"id {kind}, node binary, tokens binary")

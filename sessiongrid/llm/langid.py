@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 DOCS_PER_LANGUAGE = 3000
 PENALTY = 12.0
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 UNKNOWN = "und"
