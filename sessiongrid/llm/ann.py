@@ -3,8 +3,10 @@
 Each table turns unit vectors by a pseudo-rotation (three rounds of random signs and a fast
 Hadamard transform) and assigns them to the nearest signed axis. For large collections a second
 rotation with fewer axes is joined to the first, so buckets keep a bounded mean size. A query
-looks into its ``probes`` likeliest buckets of every table; inside a bucket its candidates are
-ranked by exact cosine, and the best of all buckets are its neighbours.
+looks into its likeliest buckets of every table; inside a bucket its candidates are ranked by
+exact cosine, and the best of all buckets are its neighbours. More buckets take more probes:
+their number is measured on seeded pairs, so that vectors of cosine ``AT_COSINE`` meet with
+chance ``CHANCE`` or more whatever the number of vectors, axes and tables.
 
 Equal vectors are met once as queries, and only the k + 1 smallest ids of equal candidates are
 indexed, since no query can need more. A bucket above ``ROWS_PER_PART`` is cut into parts that
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TABLES = 12
-PROBES = 8
+PROBES = 8  # at least
+AT_COSINE = 0.3
+CHANCE = 0.95
+PAIRS = 1000
 ROWS_PER_PART = 20_000
 MEAN_BUCKET = 4_000
 _TIE = 1e-9
@@ -54,8 +60,8 @@ class Hasher:
         x = x[:, :keep]
         return np.concatenate([x, -x], axis=1)
 
-    def probes(self, unit: np.ndarray, table: int, n: int) -> np.ndarray:
-        """The ``n`` likeliest buckets of each row, likeliest first."""
+    def scores(self, unit: np.ndarray, table: int) -> np.ndarray:
+        """Score of every bucket for each row."""
         x = np.zeros((len(unit), self.padded))
         x[:, : self.dim] = unit
         score = self._axes(x, table, 0, self.padded)
@@ -63,11 +69,38 @@ class Hasher:
             other = self._axes(x, table, 1, self.second)
             # Both are parts of one unit vector's rotations; the second is scaled to the first.
             score = (score[:, :, None] + other[:, None, :] / math.sqrt(self.padded / self.second)).reshape(len(x), -1)
+        return score
+
+    def probes(self, unit: np.ndarray, table: int, n: int) -> np.ndarray:
+        """The ``n`` likeliest buckets of each row, likeliest first."""
+        score = self.scores(unit, table)
         n = min(n, score.shape[1])
         near = np.argpartition(-score, n - 1, axis=1)[:, :n]
         return np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1)
 
 
+@lru_cache(maxsize=64)
+def probes_needed(dim: int, tables: int, second: int, seed: int) -> int:
+    """Fewest probes by which ``CHANCE`` of all pairs of cosine ``AT_COSINE`` meet in some table."""
+    hasher = Hasher(dim, tables, second, seed)
+    buckets = 2 * hasher.padded * (2 * second or 1)
+    if dim == 1:
+        return buckets
+    rng = np.random.default_rng(seed)
+    a, b = _unit(rng.normal(size=(PAIRS, dim))), rng.normal(size=(PAIRS, dim))
+    b = _unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    b = AT_COSINE * a + math.sqrt(1 - AT_COSINE**2) * b
+    place = np.full(PAIRS, buckets)
+    step = max(1, 2_000_000 // buckets)
+    for lo in range(0, PAIRS, step):
+        own = slice(lo, lo + step)
+        for table in range(tables):
+            held, score = hasher.probes(b[own], table, 1), hasher.scores(a[own], table)
+            before = (score > np.take_along_axis(score, held, 1)).sum(axis=1)
+            place[own] = np.minimum(place[own], before + 1)
+    return int(np.sort(place)[math.ceil(CHANCE * PAIRS) - 1])
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vec) without null, zero or non-finite vectors; of several lengths the most frequent takes part."""
     vec = F.col(vector_col).cast("array<double>")
@@ -110,7 +143,8 @@ def nearest(
     """query_id, rank (from 1), id and score of the ``k`` nearest found, the query's own id excluded.
 
     Ties go to the smaller id, repeated rows count once. Vectors that ``usable`` rejects take no
-    part on either side; without any the result is empty. Other columns are not read.
+    part on either side; without any the result is empty. Other columns are not read. At least
+    ``probes`` buckets are searched in each table, more where ``probes_needed`` asks for them.
     """
     base = usable(vectors, id_col, vector_col)
     asked = usable(queries, id_col, vector_col)
@@ -125,12 +159,14 @@ def nearest(
     wanted = total / (2 * padded * mean_bucket)
     second = 0 if wanted <= 2 else min(padded, 1 << max(0, math.ceil(math.log2(wanted)) - 1))
     hasher = Hasher(dim, tables, second, seed)
+    probes = max(probes, probes_needed(dim, tables, second, seed))
 
     def bucketed(n: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for lo in range(0, len(batch), 512):
-                    own = batch.iloc[lo : lo + 512]
+                step = max(1, min(512, 8192 // n))  # bounds the rows made at once
+                for lo in range(0, len(batch), step):
+                    own = batch.iloc[lo : lo + step]
                     unit = _unit(_matrix(own["vec"]))
                     for table in range(tables):
                         found = hasher.probes(unit, table, n)

@@ -63,6 +63,21 @@ def test_nearest_of_few_or_no_vectors(spark):
     assert ann.nearest(vectors(spark, []), none).count() == 0
 
 
+@pytest.mark.parametrize("mean", [4, 2])
+def test_recall_with_many_buckets(spark, mean):
+    """The probes of production, with as many buckets as millions of vectors would get."""
+    rng = np.random.default_rng(mean)
+    x = rng.normal(size=(1500, 64)).astype(np.float32)
+    every = vectors(spark, [(k, v.tolist()) for k, v in enumerate(x)])
+    found = ann.nearest(every, every.filter("vec_id % 50 = 0"), k=5, mean_bucket=mean).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 1500, 50):
+        best = [k for k in np.argsort(-(unit @ unit[q])).tolist() if k != q][:5]
+        hit += len(set(best) & {r.vec_id for r in found if r.query_id == q})
+    assert hit >= 0.9 * 150
+
+
 @needs_tables
 def test_recall_on_the_given_vectors(spark):
     found = QUERIES["op1_nearest"](spark, SF_DIR).collect()
