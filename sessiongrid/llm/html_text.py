@@ -5,7 +5,8 @@ block has features of its ancestors (tags and themes of their class and id names
 text (length, links, punctuation, place). Two labels, content and the rest, are scored by
 these and by the label before; Viterbi picks the best labelling of the whole page, and the
 content blocks are joined by line breaks. Elements that are never shown as text (head, script,
-style, templates, comments) make no blocks.
+style, templates, comments) make no blocks. A head ends at the first tag or text that cannot
+stand in it, whether or not its own tags are written; quotes in a tag count only after "=".
 
 The model is trained on seeded labelled layouts (``page_layouts``), bounded by ``PAGES``, by
 gradient ascent on the conditional likelihood with exact forward-backward sums.
@@ -29,18 +30,22 @@ from sessiongrid.llm.page_layouts import labelled_page
 PAGES = 400
 ROUNDS = 90
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*)>?|[^<]+|<", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
 # Fixed lists of HTML's element names by what they do to text.
-HIDDEN = {"script", "style", "template", "noscript", "iframe", "object", "svg", "math", "head", "title", "textarea", "select", "canvas", "audio", "video"}
+HIDDEN = {"script", "style", "template", "iframe", "svg", "head", "title", "textarea", "select", "canvas", "audio", "video"}
 RAW = {"script", "style", "textarea", "title", "iframe"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}  # what may stand in a head
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
     "mark", "q", "ruby", "rb", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br",
-    "embed", "source", "track", "link", "meta", "nobr",
+    "embed", "source", "track", "link", "meta", "nobr", "object", "param",
+    "math", "annotation", "annotation-xml", "menclose", "merror", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom",
+    "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder",
+    "munderover", "semantics",
 }
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -103,13 +108,21 @@ def blocks(page: str) -> list[Block]:
             links -= tag == "a"
         del stack[n:]
 
+    def end_head() -> None:
+        n = next((i for i, x in enumerate(stack) if x[0] == "head"), None)
+        if n is not None and not {"noscript", "template"} & {t for t, _ in stack[n + 1 :]}:
+            pop(n)
+
     lower = None
     while m := _TOKEN.match(page, at):
         at = m.end()
         tag = m[2]
         if tag is None:
             token = m[0]
-            if not hidden and not (len(token) > 1 and token[0] == "<"):
+            shown = not (len(token) > 1 and token[0] == "<")
+            if hidden and shown and stack[-1][0] == "head" and not token.isspace():
+                end_head()
+            if not hidden and shown:
                 parts.append(token)
                 if links:
                     linked += len(token)
@@ -127,6 +140,8 @@ def blocks(page: str) -> list[Block]:
             elif tag not in INLINE:
                 flush()
             continue
+        if hidden and tag not in HEAD:
+            end_head()
         if tag == "br":
             parts.append(" ")
             continue

@@ -292,6 +292,25 @@ def test_pages_with_nulls_and_clashing_columns(spark):
     assert out == Counter([(1, "u", text), (1, "u", text), (2, "u", ""), (3, None, ""), (4, "u", "")])
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<head><title>t</title><p>text", ["text"]),
+        ("<html><head><meta charset=x><style>p{}</style>bare<p>text</html>", ["bare", "text"]),
+        ("<head><noscript><img src=x>no</noscript><link rel=y></head><body><p>text", ["text"]),
+        ("<head><template><p>no</p></template><title>no</title></head><p>text", ["text"]),
+        ("<p title=don't>One</p><p>it's</p><p>two</p>", ["One", "it's", "two"]),
+        ('<p><a href="x"">One</a></p><p>a "quote" b</p>', ["One", 'a "quote" b']),
+        ("<p title = 'a>b' class=\"c>d\">One</p>", ["One"]),
+        ('<p id=a="b>One</p><p>"two"</p>', ["One", '"two"']),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p>", ["if x=1 then"]),
+        ("<p>a <object data=x><param name=y>b</object> c</p><noscript><p>d</p></noscript>", ["a b c", "d"]),
+    ],
+)
+def test_blocks_keep_all_shown_text(page, texts):
+    assert [b.text for b in html_text.blocks(page)] == texts
+
+
 # -- Packing -------------------------------------------------------------------------------
 
 
