@@ -1,8 +1,8 @@
 """Language identification, exact and near dedup, source mixing and packing of ``documents``.
 
 Each stage works on all rows that its predecessor kept, and what it decides takes effect: all
-but the last return the columns of ``documents``. Rows of one doc_id are expected to be copies
-of each other.
+but the last return the columns of ``documents``. Rows of one doc_id may have different texts,
+and each of them is judged by its own; a null doc_id is larger than any other.
 """
 
 from __future__ import annotations
@@ -41,9 +41,17 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by similar shingles, the one with the smallest id."""
-    found = jaccard_components(docs).filter("doc_id <> component_id")
-    return drop_rows(docs, stage(found.select("doc_id"), "copies"), "doc_id")
+    """Of documents connected by similar shingles, the one with the smallest id.
+
+    Rows are told apart by id and text, in the order of ids; those of one id and one text stay
+    or go together, as exact dedup leaves a single one.
+    """
+    # Ids are longs: shifted and filled with zeros, they have their order as text too.
+    place = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    text = F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), 1, 32)
+    keyed = docs.withColumn("_key", F.concat_ws("/", F.coalesce(place, F.lit("null")), text))
+    found = jaccard_components(keyed, "_key").filter("_key <> component_id")
+    return drop_rows(keyed, stage(found.select("_key"), "copies"), "_key").drop("_key")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

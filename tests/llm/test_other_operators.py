@@ -415,3 +415,22 @@ def test_pipeline_stages(spark, tmp_path):
         path = str(tmp_path / f"{name}-empty")
         function(spark, empty, SF_DIR).write.parquet(path)
         assert spark.read.parquet(path).count() == 0
+
+
+def test_near_copies_are_judged_row_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(200)) for _ in range(5)]
+    near = lambda k, *end: " ".join([*texts[k].split()[: 200 - len(end)], *end])
+    rows = [
+        (-7, near(4, "x")), (1, texts[0]), (2, near(0, "x")), (2, texts[1]), (10, texts[4]),
+        (None, texts[2]), (None, near(2, "x")), (None, near(0, "y")), (None, near(1, "y")), (None, texts[3]), (None, None), (9, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n int")
+    found = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert found.columns == docs.columns
+    left = Counter((r.doc_id, r.text) for r in found.collect())
+    one = [t for t in (texts[2], near(2, "x")) if (None, t) in left]
+    assert len(one) == 1
+    assert left == Counter([(-7, near(4, "x")), (1, texts[0]), (2, texts[1]), (None, one[0]), (None, texts[3]), (None, None), (9, None)])
