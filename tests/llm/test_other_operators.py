@@ -245,6 +245,17 @@ def test_shards_are_even_gapless_and_stable(spark):
     assert shards.shuffle_shards(docs.limit(0), "doc_id", 8).count() == 0
 
 
+def test_rows_of_one_id_spread_over_blocks(spark, monkeypatch):
+    seen = []
+    draw = shards.communication_matrix
+    monkeypatch.setattr(shards, "communication_matrix", lambda sizes, *a: seen.append(sizes) or draw(sizes, *a))
+    rows = [(None if k % 3 else k, k, k) for k in range(3000)]
+    found = shards.shuffle_shards(spark.createDataFrame(rows, "doc_id long, size long, crc long"), "doc_id", 4, rows_per_block=100).collect()
+    assert sum(seen[0]) == 3000 and max(seen[0]) < 200
+    assert sorted(r.crc for r in found) == list(range(3000))
+    assert sorted((r.shard, r.slot) for r in found) == [(s, k) for s in range(4) for k in range(750)]
+
+
 # -- Pages ---------------------------------------------------------------------------------
 
 
