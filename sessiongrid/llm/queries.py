@@ -11,6 +11,7 @@ from sessiongrid.llm.exact_dedup import exact_dedup
 from sessiongrid.llm.html_text import extract_text
 from sessiongrid.llm.jaccard_join import jaccard_components
 from sessiongrid.llm.langid import held_out, identify, train
+from sessiongrid.llm.merkle import fold, manifest, sibling_text
 from sessiongrid.llm.mixing import mix_sources, source_sizes, water_fill
 from sessiongrid.llm.packing import pack
 from sessiongrid.llm.shards import shuffle_shards
@@ -101,6 +102,23 @@ def op10_token_store(spark: SparkSession, sf_dir: str, vocabulary: str = "word_b
     return read_tokens(spark, path, with_ids=False)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    even = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 2 == 0
+    text = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], tampered={"text": text})
+    folded = found.withColumn("folded_root", fold(F.col("path"), F.col("tampered_leaf")))
+    return folded.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(sibling_text(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_mix_sources": op2_mix_sources,
@@ -112,6 +130,7 @@ QUERIES = {
     "op8_pack": op8_pack,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_store": op10_token_store,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES = {
