@@ -73,6 +73,22 @@ def drop_rows(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return marked.filter("not near").select("row.*").unionByName(near.select("row.*"))
 
 
+def join_unique(rows: DataFrame, table: DataFrame, keys: list[str], hot: int = 1000, salts: int = 64) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row for each of the ``keys``; no key is null.
+
+    A key held by more than one row in ``hot`` is spread over ``salts`` tasks, with a copy of its row of the
+    table for each. There are fewer than ``hot`` such keys in any table, so they are broadcast.
+    ``rows`` has to be a written table: its row numbers are the salts.
+    """
+    least = max(rows.count() // hot, 100)
+    many = F.broadcast(rows.groupBy(*keys).count().filter(F.col("count") > least).select(*keys, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.col("_row"), F.lit(salts))).otherwise(F.lit(0))
+    spread = rows.withColumn("_row", F.monotonically_increasing_id()).join(many, keys, "left").withColumn("_salt", salt.cast("int"))
+    copies = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    copied = table.join(many, keys, "left").withColumn("_salt", copies).drop("_hot")
+    return spread.drop("_hot", "_row").join(copied, [*keys, "_salt"]).drop("_salt")
+
+
 def ordered_index(rows: DataFrame, *order: Column, partitions: int = 8) -> DataFrame:
     """Add ``index``: 0, 1, 2 ... in ``order`` (total), by ranges, none of them in one task."""
     ranged = stage(

@@ -11,10 +11,12 @@ from sessiongrid.llm.exact_dedup import exact_dedup
 from sessiongrid.llm.html_text import extract_text
 from sessiongrid.llm.jaccard_join import jaccard_components
 from sessiongrid.llm.langid import held_out, identify, train
+from sessiongrid.llm.lexical import ranked_search
 from sessiongrid.llm.merkle import fold, manifest, sibling_text
 from sessiongrid.llm.mixing import mix_sources, source_sizes, water_fill
 from sessiongrid.llm.packing import pack
 from sessiongrid.llm.shards import shuffle_shards
+from sessiongrid.llm.simhash import simhash_components
 from sessiongrid.llm.suffix_dedup import remove_repeats
 from sessiongrid.llm.token_store import read_tokens, write_tokens
 from sessiongrid.sources.storage import scratch_path, stage
@@ -119,6 +121,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_mix_sources": op2_mix_sources,
@@ -131,6 +141,8 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_store": op10_token_store,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_simhash": op12_simhash,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES = {
@@ -143,4 +155,86 @@ ORACLES = {
                row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE crc_bytes AS (
+            SELECT doc_id, list_reduce(
+                list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                    lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))),
+                lambda acc, byte: xor(xor(acc, byte) >> 1, 3988292384 * (xor(acc, byte) & 1))) AS crc
+            FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+        ), d AS (
+            SELECT row_number() OVER () AS r, *, coalesce(xor(crc, 4294967295) % 2 = 0, false) AS even
+            FROM documents LEFT JOIN crc_bytes USING (doc_id)
+        ), parts AS (
+            SELECT r, doc_id, coalesce('s' || source, '') AS g,
+                coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+                text, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS other
+            FROM d
+        ), leaves AS (
+            SELECT r, doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS other
+            FROM parts
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+        ), up AS (
+            SELECT 0 AS level, g, pos, leaf AS node, count(*) OVER (PARTITION BY g) AS n FROM placed
+            UNION ALL
+            SELECT level + 1, g, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), any_value(n + 2) // 3
+            FROM up WHERE n > 1 GROUP BY level, g, pos // 3
+        ), subroots AS (SELECT g, node, row_number() OVER (ORDER BY g) - 1 AS pos FROM up WHERE n = 1
+        ), high AS (
+            SELECT 0 AS level, pos, node, (SELECT count(*) FROM subroots) AS n FROM subroots
+            UNION ALL
+            SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), any_value(n + 2) // 3
+            FROM high WHERE n > 1 GROUP BY level, pos // 3
+        ), every AS (
+            SELECT g, level, pos, node, n FROM up
+            UNION ALL SELECT NULL, 1000 + level, pos, node, n FROM high
+        ), runs AS (
+            SELECT g, level, pos // 3 AS run, list(node ORDER BY pos) AS nodes FROM every WHERE n > 1 GROUP BY ALL
+        ), walk AS (
+            SELECT r, placed.g, 0 AS level, pos, other AS node, '' AS proof, false AS done FROM placed
+            UNION ALL
+            SELECT w.r, w.g,
+                CASE WHEN x.run IS NOT NULL THEN w.level + 1 WHEN w.level < 1000 THEN 1000 ELSE w.level END,
+                CASE WHEN x.run IS NOT NULL THEN w.pos // 3 WHEN w.level < 1000 THEN (SELECT s.pos FROM subroots s WHERE s.g = w.g) ELSE w.pos END,
+                CASE WHEN x.run IS NOT NULL THEN sha256(
+                    array_to_string(x.nodes[1 : w.pos % 3], '') || w.node || array_to_string(x.nodes[w.pos % 3 + 2 :], '')) ELSE w.node END,
+                CASE WHEN x.run IS NOT NULL THEN w.proof
+                    || array_to_string(x.nodes[1 : w.pos % 3], '') || array_to_string(x.nodes[w.pos % 3 + 2 :], '') ELSE w.proof END,
+                x.run IS NULL AND w.level >= 1000
+            FROM walk w LEFT JOIN runs x
+                ON x.level = w.level AND x.run = w.pos // 3 AND (x.g = w.g OR w.level >= 1000)
+            WHERE NOT w.done
+        )
+        SELECT p.doc_id, p.leaf, s.node AS subroot, h.node AS root, sha256(w.proof) AS proof_sha256,
+            w.node AS folded_root, w.node = h.node AS verified
+        FROM placed p JOIN subroots s USING (g) JOIN walk w ON w.r = p.r AND w.done, (SELECT node FROM high WHERE n = 1) h
+    """,
+    "op13_lexical_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+            FROM documents
+        ), c AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM d WHERE len(ts) > 0
+        ), tf AS (
+            SELECT r, doc_id, n, term, count(*) AS tf
+            FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d) GROUP BY ALL
+        ), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+        ), q AS (
+            SELECT item_id, term, count(*) AS times
+            FROM (SELECT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+        ), s AS (
+            SELECT item_id, r, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+                * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score
+            FROM q JOIN df USING (term) JOIN tf USING (term), c GROUP BY item_id, r, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM s WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+    """,
 }
