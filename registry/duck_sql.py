@@ -292,6 +292,32 @@ DIRTY_EVALUATED = f"{DIRTY}, {SPLITS}, {TEST}"
 PORTFOLIOS = f"{EVALUATED}, {held('top', 'a', 'x.slot')}, {held('market', 'b', 'x.d AS day')}, {METRICS}"
 DIRTY_TRADES = f"{DIRTY}, {SPLITS}, {TEST}, {held('top', 'a', 'x.slot')}"
 
+SAVED = f"{DIRTY_EVALUATED}, {held('top', 'a', 'x.slot')}, {held('market', 'b', 'x.d AS day')}, {WHOLE_METRICS}"
+
+
+def when_resolved(metric: str) -> str:
+    return f"CASE WHEN count(*) FILTER (net IS NULL) = 0 THEN {metric} END"
+
+
+WIDE_ROWS = f"""SELECT c.d AS "Date", n.n_name AS "Ticker", {QUOTES}
+FROM (SELECT DISTINCT d FROM nation_bars) c CROSS JOIN nation n
+LEFT JOIN nation_bars b ON b.d = c.d AND b.n_name = n.n_name"""
+
+# The ways to write a day, in both notations.
+DATE_FORMATS = {
+    "iso": "%Y-%m-%d",
+    "M/d/yyyy": "%m/%d/%Y",
+    "d/M/yyyy": "%d/%m/%Y",
+    "M-d-yyyy": "%m-%d-%Y",
+    "d-M-yyyy": "%d-%m-%Y",
+    "d.M.yyyy": "%d.%m.%Y",
+    "d MMM yyyy": "%d %b %Y",
+    "d MMMM yyyy": "%d %B %Y",
+    "d-MMM-yyyy": "%d-%b-%Y",
+    "MMM d, yyyy": "%b %d, %Y",
+    "MMMM d, yyyy": "%B %d, %Y",
+}
+
 DAILY_COLUMNS = f'd AS "Date", entry AS "EntryDate", filled, cash_slots, unresolved, {all_r8("gross", "net")}'
 FEATURE_COLUMNS = all_r8(*FEATURES)
 MODEL_COLUMNS = f"""{KEYS}, split AS "Split", lend AS "LabelEndDate", {FEATURE_COLUMNS}, {all_r8("target", "target_rank")}"""
@@ -452,9 +478,7 @@ HAVING count(*) FILTER (op > 0 AND hi >= greatest(op, cl) AND lo <= least(op, cl
     ),
     "wide_to_long": query(
         NATION_BARS,
-        f"""SELECT c.d AS "Date", n.n_name AS "Ticker", {QUOTES}
-FROM (SELECT DISTINCT d FROM nation_bars) c CROSS JOIN nation n
-LEFT JOIN nation_bars b ON b.d = c.d AND b.n_name = n.n_name""",
+        WIDE_ROWS,
     ),
     "momentum": query(
         f"{CLEAN}, {PANEL}", f"SELECT {KEYS}, {all_r8('ret_1d', 'mom_5d', 'mom_20d', 'mom_60d')} FROM panel"
@@ -561,16 +585,49 @@ summary AS (SELECT count(score) AS scored, count(*) FILTER (score IS NULL) AS un
 FROM falls GROUP BY portfolio""",
     ),
     "results_csv": query(
-        f"""{DIRTY_EVALUATED}, {held('top', 'a', 'x.slot')}, {held('market', 'b', 'x.d AS day')}, {WHOLE_METRICS}""",
+        f"""{SAVED}, {SPEARMAN},
+summary AS (SELECT count(score) AS scored, count(*) FILTER (score IS NULL) AS undefined, avg(score) AS mean FROM scores)""",
         f"""SELECT portfolio AS "Portfolio", min(d) AS first_date, max(d) AS last_date, max(entry) AS last_exit, count(*) AS days,
-    count(*) FILTER (net IS NULL) AS unresolved_days, {r8("sharpe", SHARPE)}, CASE WHEN portfolio = 'model' THEN 10 END AS slots
+    count(*) FILTER (net IS NULL) AS unresolved_days,
+    {r8("cumulative_gross", when_resolved("product(1 + gross) - 1"))}, {r8("cumulative_net", when_resolved("product(1 + net) - 1"))},
+    {r8("sharpe", SHARPE)}, {r8("max_drawdown", when_resolved("min(f)"))},
+    CASE WHEN portfolio = 'model' THEN (SELECT scored FROM summary) END AS scored_dates,
+    CASE WHEN portfolio = 'model' THEN (SELECT undefined FROM summary) END AS undefined_dates,
+    {r8("mean_score", "CASE WHEN portfolio = 'model' THEN (SELECT mean FROM summary) END")},
+    {UNCOVERED} AS uncovered_dates,
+    CASE WHEN portfolio = 'model' THEN 10 END AS slots, 0.001::DOUBLE AS cost_per_side, 252 AS days_per_year,
+    'equal_weight_eligible' AS benchmark,
+    'signal after close; buy next session open, sell its close; cash overnight; no shorts' AS rules
 FROM falls GROUP BY portfolio""",
     ),
+    "daily_csv": query(SAVED, f'SELECT portfolio AS "Portfolio", {DAILY_COLUMNS} FROM both_daily'),
+    "trades_csv": query(
+        SAVED,
+        " UNION ALL ".join(
+            f"""SELECT '{portfolio}' AS "Portfolio", d AS "Date", t AS "Ticker", {r8("weight")}, entry AS "EntryDate",
+    op AS "Open", cl AS "Close", status, {all_r8("gross", "net")} FROM {name}"""
+            for name, portfolio in (("a", "model"), ("b", "equal_weight_eligible"))
+        ),
+    ),
+    "cached_inputs": query(NATION_BARS, WIDE_ROWS),
+    "saved_inputs_order": query(
+        f"{NATION_BARS}, {SUPPLIERS}",
+        """SELECT 'constituents' AS table_name, count(*) AS rows, true AS in_order FROM details
+UNION ALL SELECT 'prices', (SELECT count(DISTINCT d) FROM nation_bars) * count(*), true FROM nation""",
+    ),
+    "date_formats": f"""
+WITH days AS (SELECT CAST(l_shipdate AS DATE) AS d, make_date(year(d), month(d), least(day(d), 12)) AS e FROM lineitem),
+texts AS (SELECT UNNEST([
+    {{'column_name': 'named', 'text': CAST(day(d) AS VARCHAR) || strftime(d, ' %B %Y')}},
+    {{'column_name': 'day_first', 'text': strftime(d, '%d/%m/%Y')}},
+    {{'column_name': 'open', 'text': strftime(e, '%d/%m/%Y')}}], recursive := true) FROM days),
+read AS (SELECT column_name, text, UNNEST([{", ".join(f"{{'format': '{spark}', 'day': try_strptime(text, '{duck}')}}" for spark, duck in DATE_FORMATS.items())}], recursive := true) FROM texts)
+SELECT column_name, "format", count(*) AS rows, count("day") AS fits, count(*) = count("day") AS fits_all FROM read GROUP BY column_name, "format"
+""",
+    "inferred_dates": query(BARS, f"SELECT {KEYS}, {QUOTES} FROM bars"),
     "wide_csv_roundtrip": query(
         NATION_BARS,
-        f"""SELECT c.d AS "Date", n.n_name AS "Ticker", {QUOTES}
-FROM (SELECT DISTINCT d FROM nation_bars) c CROSS JOIN nation n
-LEFT JOIN nation_bars b ON b.d = c.d AND b.n_name = n.n_name""",
+        WIDE_ROWS,
     ),
     "constituents_roundtrip": query(
         SUPPLIERS,

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from registry import feeds
 from registry.feeds import TRAIN_END, VALIDATION_END
-from sessiongrid.functions.columns import normalize_ticker, to_finite_double, to_session_date
-from sessiongrid.operators.clean import clean_quotes, conflicting_keys, drop_invalid_keys, unusable_keys
+from sessiongrid.functions.columns import INFER, date_format_report, normalize_ticker, to_finite_double, to_session_date
+from sessiongrid.operators.clean import clean_quotes, conflicting_keys, drop_invalid_keys, normalize_quotes, unusable_keys
 from sessiongrid.operators.dataset import (
     add_date_splits,
     crossing_dates,
@@ -49,7 +50,7 @@ from sessiongrid.operators.quality import (
 from sessiongrid.operators.scoring import daily_spearman, spearman_summary, submission_issues
 from sessiongrid.plans.backtest import BENCHMARK, MODEL, backtest, write_backtest
 from sessiongrid.plans.panel import checked_panel, prepare_price_panel, public_panel
-from sessiongrid.plans.shared_table import Settings, build_shared_table
+from sessiongrid.plans.shared_table import Settings, build_shared_table, save_inputs
 from sessiongrid.schema import FEATURES, QUOTE_COLUMNS, export_columns, model_inputs, quoted
 from sessiongrid.sources.files import (
     conform_tickers,
@@ -149,6 +150,26 @@ def normalize_keys(spark, sf):
     return drop_invalid_keys(keys).groupBy("Date", "Ticker").agg(F.sum("count").alias("rows"))
 
 
+def date_formats(spark, sf):
+    """Which formats read three columns of day text: month names, day first, and one that leaves it open."""
+    day = F.col("l_shipdate").cast("date")
+    early = F.make_date(F.year(day), F.month(day), F.least(F.dayofmonth(day), F.lit(12)))
+    texts = feeds.table(spark, sf, "lineitem").select(
+        F.date_format(day, "d MMMM yyyy").alias("named"),
+        F.date_format(day, "dd/MM/yyyy").alias("day_first"),
+        F.date_format(early, "dd/MM/yyyy").alias("open"),
+    )
+    found = [date_format_report(texts, name).select(F.lit(name).alias("column_name"), "*") for name in texts.columns]
+    report = found[0].unionByName(found[1]).unionByName(found[2])
+    return report.withColumn("fits_all", F.col("fits") == F.col("rows"))
+
+
+def inferred_dates(spark, sf):
+    """Quotes whose dates are written with month names, in the one format that reads them all."""
+    named = feeds.bars(spark, sf).withColumn("Date", F.concat(F.lit(" "), F.date_format("Date", "MMMM d, yyyy")))
+    return normalize_quotes(named, date_format=INFER)
+
+
 def coerce_numeric(spark, sf):
     number, kind = F.col("l_quantity").cast("int").cast("string"), F.col("l_orderkey") % 9
     text = (
@@ -211,7 +232,8 @@ def audit_counts(spark, sf):
 
 
 def audit_rows(spark, sf):
-    return audit_long(audit_counts(spark, sf))
+    """Counted by the tasks that write the panel."""
+    return audit_long(prepare_price_panel(feeds.dirty(spark, sf), validate=False, scratch=scratch_path(spark, "panel")).audit)
 
 
 def quotes_per_ticker(spark, sf):
@@ -221,8 +243,8 @@ def quotes_per_ticker(spark, sf):
 # --- files ------------------------------------------------------------------------------
 
 
-def wide_csv_roundtrip(spark, sf):
-    """The wide table as a file with its two header lines, read and turned into quotes."""
+def _wide_file(spark, sf):
+    """The wide table as a file with its two header lines."""
     wide = feeds.wide_bars(spark, sf)
     path = scratch_path(spark, "wide_csv")
     names = [name.split("/") for name in wide.columns[1:]]
@@ -231,29 +253,68 @@ def wide_csv_roundtrip(spark, sf):
     lines = wide.select(F.concat_ws(",", *cells).alias("value"), F.col("Date").cast("string").alias("at"))
     head = spark.createDataFrame([(",".join(cells), f"{i}") for i, cells in enumerate(heads)], "value string, at string")
     head.unionByName(lines).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
-    return wide_to_long(read_wide_prices(spark, path))
+    return path
 
 
-def constituents_roundtrip(spark, sf):
-    """Details with a Symbol only, as a file; saved in order of the ticker made from it."""
+def wide_csv_roundtrip(spark, sf):
+    """The wide file, read and turned into quotes."""
+    return wide_to_long(read_wide_prices(spark, _wide_file(spark, sf)))
+
+
+def _constituents_file(spark, sf):
     path = scratch_path(spark, "constituents_csv")
     details = feeds.details(spark, sf).select(
         F.concat(F.lit(" "), F.lower("Ticker")).alias("Symbol"), "Security", F.col("Nation").alias("GICS Sector"), F.lit(None).cast("string").alias("GICS Sub-Industry")
     )
     write_table(details, path, "csv", sort_by=["Symbol"])
-    return read_constituents(spark, path)
+    return path
+
+
+def _saved_inputs(spark, sf):
+    """Both inputs saved as a set; a second build finds it, and an interrupted refresh leaves it."""
+    root = scratch_path(spark, "inputs")
+    constituents, prices = _constituents_file(spark, sf), _wide_file(spark, sf)
+    save_inputs(spark, constituents, prices, root)
+    try:
+        save_inputs(spark, constituents, f"{prices}/missing", root, refresh=True)
+    except AnalysisException:
+        pass  # the refresh fails at its second table
+    return save_inputs(spark, f"{constituents}/missing", prices, root)
+
+
+def cached_inputs(spark, sf):
+    return spark.read.parquet(_saved_inputs(spark, sf)["prices"])
+
+
+def _file_order(table, keys):
+    """Whether the files of a table follow each other in order: their key ranges."""
+    rows = table.select(*keys, F.input_file_name().alias("file"))
+    key = F.struct(*keys)
+    files = rows.groupBy("file").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("rows"))
+    before = Window.orderBy("file")  # one row for each file
+    return files.withColumn("follows", F.coalesce(F.lag("high").over(before) < F.col("low"), F.lit(True))).agg(
+        F.sum("rows").alias("rows"), F.every("follows").alias("in_order"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+
+
+def saved_inputs_order(spark, sf):
+    """Constituents lie in order of their ticker, quotes in order of date and ticker."""
+    saved = _saved_inputs(spark, sf)
+    tables = {"constituents": ["Ticker"], "prices": ["Date", "Ticker"]}
+    found = [_file_order(spark.read.parquet(saved[name]), keys).select(F.lit(name).alias("table_name"), "rows", "in_order") for name, keys in tables.items()]
+    return found[0].unionByName(found[1])
+
+
+def constituents_roundtrip(spark, sf):
+    """Details with a Symbol only, as a file; saved in order of the ticker made from it."""
+    return read_constituents(spark, _constituents_file(spark, sf))
 
 
 def sorted_export(spark, sf):
-    """Whether the files of the export follow each other in order: their key ranges."""
     path = scratch_path(spark, "sorted_export")
     write_table(export_columns(_splits(spark, sf)), path, sort_by=["Date", "Ticker"])
-    rows = spark.read.parquet(path).select("Date", "Ticker", F.input_file_name().alias("file"))
-    key = F.struct("Date", "Ticker")
-    files = rows.groupBy("file").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("rows"))
-    before = Window.orderBy("file")
-    return files.withColumn("follows", F.coalesce(F.lag("high").over(before) < F.col("low"), F.lit(True))).agg(
-        F.sum("rows").alias("rows"), F.every("follows").alias("in_order"), F.min("low")["Date"].alias("first_date"), F.max("high")["Date"].alias("last_date")
+    return _file_order(spark.read.parquet(path), ["Date", "Ticker"]).select(
+        "rows", "in_order", F.col("low.Date").alias("first_date"), F.col("high.Date").alias("last_date")
     )
 
 
@@ -486,15 +547,29 @@ def backtest_results(spark, sf):
     return rounded(done.results, *values)
 
 
-def results_csv(spark, sf):
-    """Results as saved and read again; an unresolved trade leaves the metrics missing."""
+def _saved_backtest(spark, sf):
+    """A backtest with unresolved trades, saved as files."""
     eligible = _test_rows(spark, sf, feeds.dirty)
     path = scratch_path(spark, "results")
     done = backtest(feeds.predictions(eligible), feeds.dirty(spark, sf), eligible, validate=False, scratch=scratch_path(spark, "pairs"))
     write_backtest(done, path)
-    saved = spark.read.option("header", True).schema(done.results.schema).csv(f"{path}/results")
-    names = ["Portfolio", "first_date", "last_date", "last_exit", "days", "unresolved_days", "sharpe", "slots"]
-    return rounded(saved.select(*names), "sharpe")
+    return done, lambda name: spark.read.option("header", True).schema(getattr(done, name).schema).csv(f"{path}/{name}")
+
+
+def results_csv(spark, sf):
+    """Results as saved and read again; an unresolved trade leaves the metrics missing."""
+    _, saved = _saved_backtest(spark, sf)
+    return rounded(saved("results"), "cumulative_gross", "cumulative_net", "sharpe", "max_drawdown", "mean_score")
+
+
+def daily_csv(spark, sf):
+    _, saved = _saved_backtest(spark, sf)
+    return rounded(saved("daily"), "gross", "net")
+
+
+def trades_csv(spark, sf):
+    _, saved = _saved_backtest(spark, sf)
+    return rounded(saved("trades"), "gross", "net", "weight")
 
 
 QUERIES: dict[str, Query] = {
@@ -549,6 +624,12 @@ QUERIES: dict[str, Query] = {
     "portfolio_metrics": metrics,
     "backtest_results": backtest_results,
     "results_csv": results_csv,
+    "daily_csv": daily_csv,
+    "trades_csv": trades_csv,
+    "cached_inputs": cached_inputs,
+    "saved_inputs_order": saved_inputs_order,
+    "date_formats": date_formats,
+    "inferred_dates": inferred_dates,
     "wide_csv_roundtrip": wide_csv_roundtrip,
     "constituents_roundtrip": constituents_roundtrip,
     "sorted_export": sorted_export,

@@ -2,7 +2,6 @@ from sessiongrid.functions.columns import (
     all_present,
     any_null,
     finite,
-    full_window,
     normalize_ticker,
     session_return,
     to_finite_double,
@@ -15,7 +14,6 @@ __all__ = [
     "all_present",
     "any_null",
     "finite",
-    "full_window",
     "normalize_ticker",
     "session_return",
     "to_finite_double",

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,21 @@ _DAY_TIME_OFFSET = (
     r"^\s*(\d{4})(?:([-/])(\d{1,2})\2(\d{1,2})|(\d{2})(\d{2}))"
     r"(?:[T\s]\s*(?:(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(?:Z|([+-]\d{1,2})(?::?(\d{2}))?)?)?)?\s*$"
 )
+# The other ways to write a day that a whole column may share, as Spark patterns.
+DATE_FORMATS = [
+    "M/d/yyyy",
+    "d/M/yyyy",
+    "M-d-yyyy",
+    "d-M-yyyy",
+    "d.M.yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "d-MMM-yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+]
+ISO = "iso"  # the forms that are read row by row without a pattern
+INFER = "infer"  # asks for a format that fits the whole column
 # Spark reads a Java type suffix ("1.5d") as part of a number.
 _NUMBER_SUFFIX = r"[dDfF]\s*$"
 
@@ -58,7 +73,7 @@ def _text_to_day(c: Column) -> Column:
 def to_day(c: Column, dtype: T.DataType, fmt: str | None = None) -> Column:
     """The UTC calendar day of a date, timestamp or text column, whatever its year."""
     if isinstance(dtype, T.StringType):
-        return _text_to_day(c) if fmt is None else F.try_to_date(c, fmt)
+        return _text_to_day(c) if fmt is None else F.try_to_date(F.trim(c, F.lit(WHITESPACE)), fmt)
     if isinstance(dtype, T.DateType):
         return c
     if isinstance(dtype, T.TimestampNTZType):
@@ -84,6 +99,43 @@ def to_session_date(c: Column, dtype: T.DataType, fmt: str | None = None) -> Col
     return _once(to_day(c, dtype, fmt), lambda day: F.when(in_calendar(day), day))
 
 
+def date_format_report(df: DataFrame, column: str = "Date", formats: Sequence[str] = tuple(DATE_FORMATS)) -> DataFrame:
+    """(format, rows, fits): how many rows that are not blank there are, and how many of them each format reads.
+
+    One pass, whatever the number of formats; only days inside the calendar count.
+    """
+    text = F.trim(F.col(quoted(column)), F.lit(WHITESPACE))
+    given = df.select(text.alias("text")).filter("text <> ''")
+    reads = {ISO: _text_to_day(F.col("text"))} | {fmt: F.try_to_date("text", fmt) for fmt in formats}
+    counts = given.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(in_calendar(day)).alias(f"fits_{i}") for i, day in enumerate(reads.values())]
+    )
+    each = F.array(*[F.struct(F.lit(fmt).alias("format"), F.col("rows").alias("rows"), F.col(f"fits_{i}").alias("fits")) for i, fmt in enumerate(reads)])
+    return counts.select(F.inline(each))
+
+
+def infer_date_format(df: DataFrame, column: str = "Date", formats: Sequence[str] = tuple(DATE_FORMATS)) -> str | None:
+    """The one format that reads every row of a text column; None to read rows one by one.
+
+    Text that is written year first needs no pattern, so it is tried first. A format counts only if it
+    fits all rows that are not blank. If several do and would read the same rows as different days,
+    the column is ambiguous, which raises an error that names them. Runs one job; ten or so counts reach the driver.
+    """
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return None
+    report = date_format_report(df, column, formats).collect()
+    fitting = [row["format"] for row in report if row["rows"] and row["fits"] == row["rows"]]
+    if not fitting or fitting[0] == ISO:
+        return None
+    if len(fitting) > 1:
+        text = F.trim(F.col(quoted(column)), F.lit(WHITESPACE))
+        days = [F.try_to_date(text, fmt) for fmt in fitting]
+        differ = reduce(or_, [~day.eqNullSafe(days[0]) for day in days[1:]])
+        if not df.filter(differ).limit(1).isEmpty():
+            raise ValueError(f"{column} can be read in several ways: {fitting}. Name one of them.")
+    return fitting[0]
+
+
 def normalize_ticker(c: Column, upper: bool = True) -> Column:
     """Trim all white space, use dashes for dots and, by default, upper case."""
     text = F.trim(c.cast("string"), F.lit(WHITESPACE))
@@ -125,9 +177,3 @@ def holds(condition: Column) -> Column:
 def session_return(c: Column, sessions: int, by_ticker: WindowSpec) -> Column:
     """Relative change over ``sessions`` rows; only the two end points must exist."""
     return finite(F.try_divide(c, F.lag(c, sessions).over(by_ticker)) - F.lit(1.0))
-
-
-def full_window(aggregate, c: Column, rows: int, by_ticker: WindowSpec) -> Column:
-    """``aggregate(c)`` over the last ``rows`` rows, NULL unless all of them are present."""
-    frame = by_ticker.rowsBetween(1 - rows, 0)
-    return F.when(F.count(c).over(frame) == rows, aggregate(c).over(frame))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sessiongrid.schema import quoted, require_date
 
 RANGES = 64
+HOT = 1_000_000  # rows of one value on one date that one task still joins
+SALTS = 64
 
 
 def daily_ranks(df: DataFrame, value: str, out: str, *, pct: bool = True, ranges: int = RANGES) -> DataFrame:
@@ -70,17 +72,33 @@ def daily_ranks(df: DataFrame, value: str, out: str, *, pct: bool = True, ranges
     )
 
 
-def add_daily_rank(df: DataFrame, value: str, out: str, *, pct: bool = True, ranges: int = RANGES) -> DataFrame:
+def join_ranks(rows: DataFrame, ranked: DataFrame, value: str, out: str, *, pct: bool = True, hot: int = HOT, how: str = "left") -> DataFrame:
+    """``rows`` with the rank ``out`` of their ``value`` among those of ``ranked``, see ``daily_ranks``.
+
+    A value shared by ``hot`` or more rows of one date is spread over ``SALTS`` tasks, with a copy of its rank for
+    each. There is at most one such value for each ``hot`` rows (some 20 MB for 10**12 rows), so their list is
+    broadcast. Rows without a value match nothing and are spread as well.
+    """
+    hash_of_row = F.xxhash64(*[quoted(name) for name in rows.columns])
+    missing = F.col(quoted(value)).isNull()
+    ranks = daily_ranks(ranked, value, out, pct=pct).withColumnsRenamed({"Date": "_date", value: "_value"})
+    many = (
+        ranked.filter(~missing).groupBy("Date", F.col(quoted(value)).alias("_many")).agg(F.count("*").alias("_ties")).filter(F.col("_ties") >= hot)
+    ).select(F.col("Date").alias("_day"), "_many", F.lit(True).alias("_hot"))
+    many = F.broadcast(many)
+    is_hot = lambda day, v: (F.col(day) == F.col("_day")) & (v == F.col("_many"))
+    salt = F.when(missing | F.col("_hot"), F.pmod(hash_of_row, F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    marked = rows.join(many, is_hot("Date", F.col(quoted(value))), "left").withColumn("_salt", salt)
+    copies = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    copied = ranks.join(many, is_hot("_date", F.col("_value")), "left").select("_date", "_value", out, copies.alias("_part"))
+    same = (F.col("Date") == F.col("_date")) & (F.col(quoted(value)) == F.col("_value")) & (F.col("_salt") == F.col("_part"))
+    return marked.join(copied, same, how).select(*[quoted(name) for name in rows.columns], quoted(out))
+
+
+def add_daily_rank(df: DataFrame, value: str, out: str, *, pct: bool = True, hot: int = HOT) -> DataFrame:
     """Add the rank of ``value`` from ``daily_ranks``; a missing value has none.
 
     ``df`` is used for its rows and for its ranks; pass a written table if it is expensive.
     """
-    columns = [name for name in df.columns if name != out]
-    kept = df.select(*[quoted(name) for name in columns])
-    # The rank side has one row per value, so a value shared by many rows skews only the left
-    # side, which adaptive execution splits. Rows without a value match nothing; they are
-    # spread by a number of their own instead of meeting under one key.
-    spread = F.when(F.col(quoted(value)).isNull(), F.pmod(F.xxhash64(*[quoted(name) for name in columns]), F.lit(1 << 20)))
-    rows = kept.withColumn("_spread", F.coalesce(spread, F.lit(0)))
-    ranks = daily_ranks(df, value, out, pct=pct, ranges=ranges).withColumn("_spread", F.lit(0).cast("long"))
-    return rows.join(ranks, ["Date", value, "_spread"], "left").select(*[quoted(name) for name in columns], quoted(out))
+    rows = df.select(*[quoted(name) for name in df.columns if name != out])
+    return join_ranks(rows, df, value, out, pct=pct, hot=hot)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessiongrid.functions.columns import any_null, holds, to_finite_double, to_session_date
@@ -122,9 +123,22 @@ def model_table_report(dataset: DataFrame) -> DataFrame:
     )
 
 
+def model_metrics() -> dict[str, Column]:
+    """The counts of ``model_table_report`` but for repeated keys, as aggregates of the rows."""
+    return {
+        "rows": F.count(F.lit(1)),
+        **{f"{split}_rows": F.count_if(F.col("Split") == split) for split in SPLITS},
+        "rows_with_missing_features": F.count_if(any_null(FEATURES)),
+    }
+
+
 def check_model_table(dataset: DataFrame) -> None:
     """Raise unless the table is non-empty, has all periods, unique keys and all features."""
-    report = model_table_report(dataset).first()
+    check_model_report(model_table_report(dataset).first().asDict())
+
+
+def check_model_report(report: Mapping[str, int]) -> None:
+    """Raise on the first fault that the counts tell of."""
     if report["rows"] == 0:
         raise ValueError("No row has all nine features; look at the audit counts.")
     absent = [split for split in ("train", "validation", "test") if report[f"{split}_rows"] == 0]

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from sessiongrid.functions.columns import all_present, finite, full_window, session_return
+from sessiongrid.functions.columns import all_present, finite, session_return
+from sessiongrid.functions.rolling import add_rolling
 from sessiongrid.schema import FEATURES
 
 # Horizons of the momentum features and lengths of the rolling windows.
@@ -32,17 +33,30 @@ def add_momentum(panel: DataFrame) -> DataFrame:
 
 def add_volatility(panel: DataFrame) -> DataFrame:
     """Sample deviation of the last 5 and 20 one-session returns; full windows only."""
-    returns, by_ticker = F.col("ret_1d"), _by_ticker()
-    return panel.withColumns(
-        {name: finite(full_window(F.stddev_samp, returns, rows, by_ticker)) for name, rows in VOLATILITY_WINDOWS.items()}
-    )
+    return _add_rolling_features(panel, volatility=True)
 
 
 def add_volume_ratio(panel: DataFrame) -> DataFrame:
     """20-session mean volume (full windows only) and today's volume relative to it."""
-    volume = F.col("Volume")
-    mean = panel.withColumn("volume_ma20", full_window(F.avg, volume, VOLUME_WINDOW, _by_ticker()))
-    return mean.withColumn("volume_ratio_20d", finite(F.try_divide(volume, F.col("volume_ma20"))))
+    return _add_rolling_features(panel, volume=True)
+
+
+def add_rolling_features(panel: DataFrame) -> DataFrame:
+    """Both of ``add_volatility`` and ``add_volume_ratio``, in the same passes."""
+    return _add_rolling_features(panel, volatility=True, volume=True)
+
+
+def _add_rolling_features(panel: DataFrame, *, volatility: bool = False, volume: bool = False) -> DataFrame:
+    rolled = add_rolling(
+        panel,
+        _by_ticker(),
+        means={"volume_ma20": ("Volume", VOLUME_WINDOW)} if volume else {},
+        deviations={name: ("ret_1d", rows) for name, rows in VOLATILITY_WINDOWS.items()} if volatility else {},
+    )
+    made = {name: finite(F.col(name)) for name in VOLATILITY_WINDOWS} if volatility else {}
+    if volume:
+        made["volume_ratio_20d"] = finite(F.try_divide(F.col("Volume"), F.col("volume_ma20")))
+    return rolled.withColumns(made)
 
 
 def add_bar_features(panel: DataFrame) -> DataFrame:

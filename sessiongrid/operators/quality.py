@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessiongrid.functions.columns import any_null, holds
@@ -53,32 +54,45 @@ def mask_invalid_quotes(panel: DataFrame) -> DataFrame:
     return panel.withColumns({name: F.when(F.col("QuoteValid"), F.col(quoted(name))) for name in QUOTE_COLUMNS})
 
 
+def audit_metrics() -> dict[str, Column]:
+    """Aggregates of the checked panel (flags and Copies kept) that the audit is made of."""
+    rows, quotes = F.count(F.lit(1)), F.count("Copies")
+    kept = F.coalesce(F.sum("Copies"), F.lit(0))
+    return {
+        "_kept": kept,
+        "duplicate_rows_removed": kept - quotes,
+        "grid_rows": rows,
+        "inserted_missing_rows": rows - quotes,
+        "valid_quote_rows": F.count_if("QuoteValid"),
+        "invalid_quote_rows": F.count_if(~F.col("QuoteValid")),
+        "signal_eligible_rows": F.count_if("SignalEligible"),
+        **{name: F.count_if(name) for name in REASONS},
+    }
+
+
+def _audit_columns(total: DataFrame) -> DataFrame:
+    return total.withColumn("dropped_invalid_keys", F.col("input_rows") - F.col("_kept")).select(
+        *AUDIT_COUNTS, *REASONS, F.lit(True).alias("reason_counts_overlap")
+    )
+
+
 def audit(raw: DataFrame, checked: DataFrame) -> DataFrame:
     """One row of counts from the raw input and the checked panel (flags and Copies kept).
 
     The raw side is a bare row count, which a columnar source answers without reading
     columns; all else is one pass over the panel.
     """
-    rows = F.count("*")
-    quotes = F.count("Copies")
-    kept = F.coalesce(F.sum("Copies"), F.lit(0))
-    of_panel = checked.agg(
-        F.lit(0).cast("long").alias("input_rows"),
-        kept.alias("_kept"),
-        (kept - quotes).alias("duplicate_rows_removed"),
-        rows.alias("grid_rows"),
-        (rows - quotes).alias("inserted_missing_rows"),
-        F.count_if("QuoteValid").alias("valid_quote_rows"),
-        F.count_if(~F.col("QuoteValid")).alias("invalid_quote_rows"),
-        F.count_if("SignalEligible").alias("signal_eligible_rows"),
-        *[F.count_if(name).alias(name) for name in REASONS],
-    )
-    of_raw = raw.agg(rows.alias("input_rows"))
+    of_panel = checked.agg(*[expression.alias(name) for name, expression in audit_metrics().items()])
+    of_raw = raw.agg(F.count(F.lit(1)).alias("input_rows"))
     both = of_panel.unionByName(of_raw, allowMissingColumns=True)
-    total = both.agg(*[F.sum(name).alias(name) for name in both.columns])
-    return total.withColumn("dropped_invalid_keys", F.col("input_rows") - F.col("_kept")).select(
-        *AUDIT_COUNTS, *REASONS, F.lit(True).alias("reason_counts_overlap")
-    )
+    return _audit_columns(both.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in both.columns]))
+
+
+def audit_of(spark: SparkSession, input_rows: int, metrics: Mapping[str, int]) -> DataFrame:
+    """The audit from counts that the write of the panel collected (``audit_metrics``)."""
+    counts = {"input_rows": input_rows, **{name: metrics.get(name, 0) for name in audit_metrics()}}
+    schema = ", ".join(f"{name} long" for name in counts)
+    return _audit_columns(spark.createDataFrame([tuple(counts.values())], schema))
 
 
 def audit_long(audit_row: DataFrame) -> DataFrame:

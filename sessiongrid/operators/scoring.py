@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessiongrid.functions.columns import to_finite_double
-from sessiongrid.functions.ranks import daily_ranks
+from sessiongrid.functions.ranks import join_ranks
 from sessiongrid.sources.storage import write_table
 
 
@@ -64,9 +64,8 @@ def daily_spearman(predictions: DataFrame, dataset: DataFrame, *, scratch: str |
     if scratch is not None:
         write_table(pairs, scratch)
         pairs = predictions.sparkSession.read.parquet(scratch)
-    predicted = daily_ranks(pairs, "prediction", "_predicted", pct=False)
-    realised = daily_ranks(pairs, "target", "_realised", pct=False)
-    ranked = pairs.join(predicted, ["Date", "prediction"]).join(realised, ["Date", "target"])
+    ranked = join_ranks(pairs, pairs, "prediction", "_predicted", pct=False, how="inner")
+    ranked = join_ranks(ranked, pairs, "target", "_realised", pct=False, how="inner")
     spread = F.stddev_pop("_predicted") * F.stddev_pop("_realised")
     scores = ranked.groupBy("Date").agg(
         F.count("*").alias("n"),

@@ -12,13 +12,13 @@ from sessiongrid.operators.features import (
     add_bar_features,
     add_momentum,
     add_next_session_label,
+    add_rolling_features,
     add_signal_eligible,
-    add_volatility,
-    add_volume_ratio,
 )
 from sessiongrid.operators.grid import densify
-from sessiongrid.operators.quality import REASONS, add_quote_reasons, audit, mask_invalid_quotes
+from sessiongrid.operators.quality import REASONS, add_quote_reasons, audit, audit_metrics, audit_of, mask_invalid_quotes
 from sessiongrid.schema import PANEL_COLUMNS, quoted
+from sessiongrid.sources.storage import write_table
 
 _FIRST_COLUMNS = PANEL_COLUMNS[: PANEL_COLUMNS.index("QuoteValid") + 1]
 _LATER_COLUMNS = PANEL_COLUMNS[len(_FIRST_COLUMNS) :]
@@ -36,8 +36,8 @@ def checked_panel(quotes: DataFrame, details: DataFrame | None = None, *, valida
     The details are joined last, so they do not travel through the windows.
     """
     panel = mask_invalid_quotes(add_quote_reasons(densify(quotes)))
-    panel = add_volume_ratio(add_momentum(add_next_session_label(panel)))
-    panel = add_signal_eligible(add_volatility(add_bar_features(panel)))
+    panel = add_rolling_features(add_momentum(add_next_session_label(panel)))
+    panel = add_signal_eligible(add_bar_features(panel))
     extras = []
     if details is not None:
         extras = [name for name in details.columns if name != "Ticker"]
@@ -51,16 +51,30 @@ def public_panel(checked: DataFrame) -> DataFrame:
 
 
 def prepare_price_panel(
-    raw: DataFrame, metadata: DataFrame | None = None, *, date_format: str | None = None, validate: bool = True
+    raw: DataFrame,
+    metadata: DataFrame | None = None,
+    *,
+    date_format: str | None = None,
+    validate: bool = True,
+    scratch: str | None = None,
 ) -> PanelResult:
     """Clean daily quotes into one row per ticker and session; returns ``(panel, audit)``.
 
-    Both results are lazy. With ``validate`` the input is checked at once, in one job over
-    the quotes and one over the details, and a ``ValueError`` tells what is wrong. Without
-    it the same conflicts fail the query that meets them, and no extra pass is made.
+    With ``scratch``, a new path in shared storage that the caller removes when done, the panel is
+    written there once; the writing tasks count the audit as its rows pass them, so the gaps are
+    filled and the windows run a single time for both results.
+
+    Without it both results are lazy, and each evaluates the panel for itself. With ``validate``
+    the input is checked at once, in one job over the quotes and one over the details, and a
+    ``ValueError`` tells what is wrong. Without it the same conflicts fail the query that meets
+    them, and no extra pass is made.
     """
     quotes = clean_quotes(raw, date_format=date_format)
     if validate:
         check_quotes(quotes)
     checked = checked_panel(quotes, metadata, validate=validate)
-    return PanelResult(public_panel(checked), audit(raw, checked))
+    if scratch is None:
+        return PanelResult(public_panel(checked), audit(raw, checked))
+    counts = write_table(checked, scratch, metrics=audit_metrics())
+    spark = raw.sparkSession
+    return PanelResult(public_panel(spark.read.parquet(scratch)), audit_of(spark, raw.count(), counts))

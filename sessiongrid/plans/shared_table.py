@@ -7,13 +7,21 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessiongrid.operators.clean import check_quotes, clean_quotes
-from sessiongrid.operators.dataset import add_date_splits, check_model_table, make_model_dataset, split_summary
-from sessiongrid.operators.quality import audit, tickers_without_quotes
+from sessiongrid.operators.clean import check_quote_counts, clean_quotes, quote_metrics
+from sessiongrid.operators.dataset import add_date_splits, check_model_report, make_model_dataset, model_metrics, split_summary
+from sessiongrid.operators.quality import audit_metrics, audit_of, tickers_without_quotes
 from sessiongrid.plans.panel import checked_panel, public_panel
 from sessiongrid.schema import KEY_COLUMNS, export_columns
-from sessiongrid.sources.files import check_raw_prices, conform_tickers, read_constituents, read_wide_prices, wide_to_long
-from sessiongrid.sources.storage import fingerprint, use_saved, write_table
+from sessiongrid.sources.files import (
+    check_raw_report,
+    conform_tickers,
+    raw_metrics,
+    read_constituents,
+    read_wide_prices,
+    repeated_unusable_keys,
+    wide_to_long,
+)
+from sessiongrid.sources.storage import bucketed, fingerprint, save_set, saved_set, write_table
 
 
 @dataclass(frozen=True)
@@ -47,32 +55,39 @@ def build_shared_table(
     quotes, the panel with its reason flags, the eligible rows, and the model table in order of
     date and ticker. ``prices`` are read only for the first: for its quotes, its tickers and its
     dates.
+
+    Every check and count is collected by the write of the table it concerns. The distinct
+    quotes are cut by ticker when written, so the gaps are filled and the windows run without
+    another shuffle, and quotes of one key lie next to each other there. Raw keys count as
+    repeated by their normalised tickers.
     """
-    write_table(conform_tickers(prices, details), f"{out}/raw", mode=settings.mode)
+    shape = write_table(conform_tickers(prices, details), f"{out}/raw", mode=settings.mode, metrics=raw_metrics(settings.start, settings.end))
     raw = spark.read.parquet(f"{out}/raw")
-    check_raw_prices(raw, settings.start, settings.end)
-
-    write_table(clean_quotes(raw), f"{out}/quotes", mode=settings.mode)
-    quotes = spark.read.parquet(f"{out}/quotes")
-    check_quotes(quotes)
-
-    write_table(checked_panel(quotes, details), f"{out}/panel", mode=settings.mode)
-    checked = spark.read.parquet(f"{out}/panel")
-    panel = public_panel(checked)
+    distinct = clean_quotes(raw)
+    with bucketed(
+        distinct, f"{out}/quotes", "Ticker", "Date", mode=settings.mode, metrics=quote_metrics(), weight="Copies"
+    ) as (quotes, keys):
+        repeated = keys["repeated_raw_keys"] + (repeated_unusable_keys(raw) if shape["unusable_rows"] > 1 else 0)
+        check_raw_report({**shape, "repeated_keys": repeated}, settings.start, settings.end)
+        check_quote_counts(keys)
+        counts = write_table(checked_panel(quotes, details), f"{out}/panel", mode=settings.mode, metrics=audit_metrics())
+    panel = public_panel(spark.read.parquet(f"{out}/panel"))
 
     write_table(panel.filter("SignalEligible"), f"{out}/eligible", mode=settings.mode)
     dataset = make_model_dataset(spark.read.parquet(f"{out}/eligible"), labeled_only=False)
     model = export_columns(add_date_splits(dataset, settings.train_end, settings.validation_end))
     path = f"{out}/model_data"
     split = None if settings.format == "csv" else "Split"
-    write_table(model, path, settings.format, settings.mode, split, sort_by=KEY_COLUMNS)
+    report = write_table(
+        model, path, settings.format, settings.mode, split, sort_by=KEY_COLUMNS, metrics=model_metrics(), count_repeats=True
+    )
+    check_model_report(report)
     reader = spark.read.schema(model.schema).format(settings.format)
     saved = export_columns(reader.option("header", True).load(path) if settings.format == "csv" else reader.load(path))
-    check_model_table(saved)
     return SharedTable(
         model=saved,
         panel=panel,
-        audit=audit(raw, checked),
+        audit=audit_of(spark, shape["rows"], counts),
         without_quotes=tickers_without_quotes(panel),
         summary=split_summary(saved),
         fingerprint=fingerprint(saved),
@@ -84,13 +99,21 @@ def build_from_files(
 ) -> SharedTable:
     """The whole way from a constituents file and a wide price file to the shared table.
 
-    Both inputs are saved below ``out`` (constituents by ticker, quotes by date and ticker) and
-    reused by later builds, unless ``refresh`` is wanted or one of them is incomplete.
+    Both inputs are saved below ``out`` as one set (constituents by ticker, quotes by date and
+    ticker) and reused by later builds, unless ``refresh`` is wanted or there is no complete set.
     """
-    saved = [f"{out}/inputs/constituents", f"{out}/inputs/prices"]
-    if not use_saved(spark, saved, refresh):
-        quotes = wide_to_long(read_wide_prices(spark, prices))
-        write_table(read_constituents(spark, constituents), saved[0], mode="overwrite", sort_by=["Ticker"])
-        write_table(quotes, saved[1], mode="overwrite", sort_by=KEY_COLUMNS)
-    details, quotes = (spark.read.parquet(path) for path in saved)
-    return build_shared_table(spark, quotes, details, out, settings)
+    saved = save_inputs(spark, constituents, prices, f"{out}/inputs", refresh=refresh)
+    return build_shared_table(spark, spark.read.parquet(saved["prices"]), spark.read.parquet(saved["constituents"]), out, settings)
+
+
+def save_inputs(spark: SparkSession, constituents: str, prices: str, root: str, *, refresh: bool = False) -> dict[str, str]:
+    """Paths of the saved ``constituents`` and ``prices`` of one reading, read and saved where needed."""
+    saved = None if refresh else saved_set(spark, root)
+    if saved is None:
+
+        def write(place) -> None:
+            write_table(read_constituents(spark, constituents), place("constituents"), sort_by=["Ticker"])
+            write_table(wide_to_long(read_wide_prices(spark, prices)), place("prices"), sort_by=KEY_COLUMNS)
+
+        saved = save_set(spark, root, write)
+    return saved

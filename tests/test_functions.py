@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
+from fractions import Fraction
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessiongrid import add_date_splits, model_inputs, prepare_price_panel
-from sessiongrid.functions.columns import normalize_ticker, to_finite_double, to_session_date
-from sessiongrid.functions.ranks import add_daily_rank
-from sessiongrid.operators.clean import check_quotes, clean_quotes
+from sessiongrid.functions.columns import infer_date_format, normalize_ticker, to_finite_double, to_session_date
+from sessiongrid.functions.ranks import add_daily_rank, join_ranks
+from sessiongrid.functions.rolling import add_rolling
+from sessiongrid.operators.clean import check_quotes, clean_quotes, unusable_keys
 from sessiongrid.operators.details import check_details, clean_details, details_issues, join_details
 from sessiongrid.schema import pick_table, require_columns
 from tests import market
@@ -113,6 +117,84 @@ def test_daily_rank_equals_brute_force(spark, shape):
             assert found[day, f"T{i}"] == (None if rank is None else pytest.approx(rank, abs=1e-12))
 
 
+def test_a_hot_value_is_spread_over_tasks(spark):
+    """One value in half of a day's rows: no task of the join back gets much more than its share."""
+    day = dt.date(2021, 1, 4)
+    rows = [(day, f"T{i}", 0.0 if i % 2 else float(i)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "Date date, Ticker string, v double").repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        largest = {}
+        for hot in (1_000_000, 100):
+            ranked = join_ranks(df, df, "v", "rank", hot=hot)
+            sizes = ranked.groupBy(F.spark_partition_id()).count().collect()
+            largest[hot] = max(row["count"] for row in sizes)
+            found = {row["Ticker"]: row["rank"] for row in ranked.collect()}
+            expected = brute_ranks([v for _, _, v in rows])
+            assert all(found[t] == pytest.approx(rank, abs=1e-12) for (_, t, _), rank in zip(rows, expected, strict=True))
+        assert largest[1_000_000] > 2000 and largest[100] < 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("shape", ["prices of 1e9", "one huge value", "gaps", "volumes", "constant"])
+def test_rolling_moments_equal_exact_sums(spark, shape):
+    pick = random.Random(shape)
+    values = {
+        "prices of 1e9": lambda i: 1e9 + i * 1e-6 + pick.random() * 1e-5,
+        "one huge value": lambda i: 1e12 if i == 3 else pick.gauss(0, 1e-3),
+        "gaps": lambda i: None if pick.random() < 0.05 else pick.gauss(5, 2),
+        "volumes": lambda i: float(pick.randint(1, 10**12)),
+        "constant": lambda i: 0.1,
+    }[shape]
+    line = [values(i) for i in range(150)]
+    df = spark.createDataFrame([("A", i, v) for i, v in enumerate(line)] + [("B", i, 1.0) for i in range(3)], "k string, i int, v double")
+    window = Window.partitionBy("k").orderBy("i")
+    lengths = [1, 2, 5, 7, 20, 60]
+    made = add_rolling(df, window, means={f"m{n}": ("v", n) for n in lengths}, deviations={f"d{n}": ("v", n) for n in lengths if n > 1})
+    assert made.columns == ["k", "i", "v", *[f"m{n}" for n in lengths], *[f"d{n}" for n in lengths if n > 1]]
+    for row in made.filter("k = 'A'").collect():
+        for n in lengths:
+            own = line[row["i"] - n + 1 : row["i"] + 1] if row["i"] >= n - 1 else [None]
+            if None in own:
+                assert row[f"m{n}"] is None and (n == 1 or row[f"d{n}"] is None)
+                continue
+            exact = [Fraction(v) for v in own]
+            mean = sum(exact) / n
+            assert row[f"m{n}"] == pytest.approx(float(mean), rel=1e-14)
+            if n > 1:
+                deviation = math.sqrt(sum((v - mean) ** 2 for v in exact) / (n - 1))
+                assert row[f"d{n}"] == pytest.approx(deviation, rel=1e-9, abs=1e-17)
+
+
+def test_one_format_for_a_column(spark):
+    def chosen(*texts):
+        return infer_date_format(spark.createDataFrame([(t,) for t in texts], "Date string"))
+
+    assert chosen("2021-05-06", " ", None, "20210507") is None
+    assert chosen("6 May 2021", "17 March 2021") == "d MMMM yyyy"
+    assert chosen("06/05/2021", "17/05/2021 ") == "d/M/yyyy"
+    assert chosen("soon", "17/05/2021") is None and chosen(None) is None
+    with pytest.raises(ValueError, match="several ways.*M/d/yyyy.*d/M/yyyy"):
+        chosen("06/05/2021", "07/05/2021")
+    # Both formats read the same days, so nothing is open.
+    assert chosen("5/5/2021", "06/06/2021") == "M/d/yyyy"
+    assert infer_date_format(spark.createDataFrame([(dt.date(2021, 1, 1),)], "Date date")) is None
+
+
+def test_inferred_dates_reach_the_panel(spark):
+    data = [dict(row, Date=dt.date.fromisoformat(row["Date"]).strftime("%d.%m.%Y")) for row in market.rows()]
+    panel = prepare_price_panel(market.frame(spark, data), date_format="infer", validate=False).panel
+    expected = prepare_price_panel(market.frame(spark, market.rows()), validate=False).panel
+    assert {k: tuple(v) for k, v in market.by_key(panel).items()} == {k: tuple(v) for k, v in market.by_key(expected).items()}
+    faults = {row["reason"]: row["rows"] for row in unusable_keys(market.frame(spark, data), date_format="infer").collect()}
+    assert faults == {"unreadable_date": 0, "date_out_of_range": 0, "missing_ticker": 0}
+
+
 def test_negative_zero_ties_with_zero(spark):
     rows = [(dt.date(2021, 1, 4), name, value) for name, value in (("A", -0.0), ("B", 0.0), ("C", 1.0))]
     df = spark.createDataFrame(rows, "Date date, Ticker string, v double")

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import re
+from dataclasses import replace
+from pathlib import Path
 
 import pytest
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from sessiongrid import QUOTE_COLUMNS, Settings, audit_dict, build_shared_table
+from sessiongrid.operators.clean import clean_quotes, quote_metrics
+from sessiongrid.plans.panel import checked_panel
+from sessiongrid.plans.shared_table import build_from_files
 from sessiongrid.schema import EXPORT_COLUMNS
 from sessiongrid.sources import files, storage
 from tests import market
@@ -27,7 +34,7 @@ def test_wide_file_to_long(spark, tmp_path):
     path = tmp_path / "wide.csv"
     path.write_text(WIDE)
     wide = files.read_wide_prices(spark, str(path))
-    assert wide.columns[:3] == ["Date", "A/Open", "A/High"] and wide.count() == 3
+    assert wide.pairs[:2] == [("A", "Open"), ("A", "High")] and wide.rows.count() == 3
     long = {(row["Date"], row["Ticker"]): row for row in files.wide_to_long(wide).collect()}
     second, third = dt.date(2024, 1, 2), dt.date(2024, 1, 3)
     assert set(long) == {(d, t) for d in (second, third, None) for t in "AB"}
@@ -79,25 +86,109 @@ def test_conform_and_checks(spark):
         files.check_raw_prices(conformed.drop("Adj Close"), DAYS[0], "2021-01-01")
 
 
+def test_cells_with_quotes_and_short_lines(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text('Ticker,"A,1",B\nField,Adj Close,Adj Close\n\n2024-01-02,"1,5",2\n"2024-01-03","3"\n,4,5\n')
+    long = {(row["Date"], row["Ticker"]): row["Adj Close"] for row in files.wide_to_long(files.read_wide_prices(spark, str(path))).collect()}
+    second, third = dt.date(2024, 1, 2), dt.date(2024, 1, 3)
+    # A comma is no part of a number; a line without a date stays.
+    assert long == {(second, "A,1"): None, (second, "B"): 2.0, (third, "A,1"): 3.0, (third, "B"): None, (None, "A,1"): 4.0, (None, "B"): 5.0}
+
+
+def test_wide_plan_does_not_grow_with_the_width(spark, tmp_path):
+    def plan(tickers):
+        path = tmp_path / f"wide{tickers}.csv"
+        pairs = [(f"T{i}", field) for i in range(tickers) for field in QUOTE_COLUMNS]
+        lines = [["", *[t for t, _ in pairs]], ["", *[f for _, f in pairs]]]
+        lines += [[f"2024-01-{day:02d}", *[str(day * 1000 + i) for i in range(len(pairs))]] for day in (2, 3, 4)]
+        path.write_text("\n".join(",".join(line) for line in lines) + "\n")
+        long = files.wide_to_long(files.read_wide_prices(spark, str(path)))
+        tree = long._jdf.queryExecution().analyzed().toJSON()
+        return long, len(json.loads(tree)), tree.count('"class"')
+
+    few, many = plan(3), plan(500)
+    assert few[1:] == many[1:]
+    rows = {(row["Date"].day, row["Ticker"]): row for row in many[0].collect()}
+    assert len(rows) == 1500
+    assert [rows[3, "T499"][name] for name in QUOTE_COLUMNS] == [3000.0 + 499 * 6 + i for i in range(6)]
+
+
+def _one(spark, value):
+    return spark.createDataFrame([(value,)], "x int")
+
+
 def test_saved_inputs(spark, tmp_path):
-    paths = {"prices": str(tmp_path / "prices"), "details": str(tmp_path / "details")}
-    calls = []
+    root, calls = str(tmp_path / "inputs"), []
 
     def loader():
         calls.append(1)
-        return {name: spark.createDataFrame([(len(calls),)], "x int") for name in paths}
+        return {name: _one(spark, len(calls)) for name in ("prices", "details")}
 
     def read(**options):
-        return {name: df.first()["x"] for name, df in storage.cached(spark, paths, loader, **options).items()}
+        return {name: df.first()["x"] for name, df in storage.cached(spark, root, loader, **options).items()}
 
+    assert storage.saved_set(spark, root) is None
     assert read() == {"prices": 1, "details": 1}
     assert read() == {"prices": 1, "details": 1} and len(calls) == 1
     assert read(refresh=True) == {"prices": 2, "details": 2}
-    # A directory without a commit marker is not a saved input, and neither is half a set.
-    (tmp_path / "details" / "_SUCCESS").unlink()
-    assert not storage.use_saved(spark, list(paths.values()))
-    assert read() == {"prices": 3, "details": 3}
     assert not storage.is_complete(spark, str(tmp_path / "nowhere"))
+    assert storage.drop_old_sets(spark, root) == 1 and read() == {"prices": 2, "details": 2}
+
+
+def test_a_failed_save_leaves_the_set_before(spark, tmp_path):
+    root = str(tmp_path / "inputs")
+    storage.cached(spark, root, lambda: {"prices": _one(spark, 1), "details": _one(spark, 1)})
+    old = storage.saved_set(spark, root)
+    broken = _one(spark, 2).select(F.raise_error(F.lit("lost")).alias("x"))
+    with pytest.raises(PySparkException, match="lost"):
+        storage.cached(spark, root, lambda: {"prices": _one(spark, 2), "details": broken}, refresh=True)
+    # The first table of the new set is there, but nothing reads it.
+    assert storage.saved_set(spark, root) == old
+    now = storage.cached(spark, root, dict)
+    assert {name: df.first()["x"] for name, df in now.items()} == {"prices": 1, "details": 1}
+    assert storage.drop_old_sets(spark, root) == 1
+
+
+def test_a_set_that_lost_a_table_is_passed_over(spark, tmp_path):
+    root = str(tmp_path / "inputs")
+    for value in (1, 2):
+        storage.cached(spark, root, lambda value=value: {"prices": _one(spark, value), "details": _one(spark, value)}, refresh=True)
+    newest = storage.saved_set(spark, root)
+    (Path(newest["details"]) / "_SUCCESS").unlink()
+    found = storage.saved_set(spark, root)
+    assert found and found != newest and spark.read.parquet(found["prices"]).first()["x"] == 1
+
+
+def test_metrics_come_with_the_write(spark, tmp_path):
+    rows = [("2024-01-02", "A", 1), ("2024-01-02", "A", 2), ("2024-01-02", "A", 3), ("2024-01-02", "B", 4), ("2024-01-03", "A", 5)]
+    df = spark.createDataFrame(rows, "Date string, Ticker string, x int").repartition(4)
+    metrics = {"rows": F.count(F.lit(1)), "total": F.sum("x")}
+    found = storage.write_table(df, str(tmp_path / "a"), sort_by=["Date", "Ticker"], metrics=metrics, count_repeats=True)
+    assert found == {"rows": 5, "total": 15, "repeated_keys": 1}
+    saved = spark.read.parquet(str(tmp_path / "a"))
+    assert saved.columns == ["Date", "Ticker", "x"] and sorted(map(tuple, saved.collect())) == rows
+    empty = storage.write_table(df.filter("false"), str(tmp_path / "b"), sort_by=["Date"], metrics=metrics, count_repeats=True)
+    assert empty == {"rows": 0, "total": None, "repeated_keys": 0}
+    assert storage.write_table(df, str(tmp_path / "c")) == {}
+
+
+def test_bucketed_quotes_need_no_shuffle_by_ticker(spark, tmp_path):
+    quotes = clean_quotes(market.frame(spark, market.rows() + market.rows()[:7]))
+    path = str(tmp_path / "quotes")
+    with storage.bucketed(quotes, path, "Ticker", "Date", metrics=quote_metrics(), weight="Copies") as (saved, found):
+        assert found["keys"] == 270 and found["repeated_raw_keys"] == 7 and found["example"] is None
+        checked = checked_panel(saved)
+        plan = checked._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and not re.search(r"Exchange hashpartitioning\(Ticker", plan)
+        expected = {k: tuple(v) for k, v in market.by_key(checked_panel(quotes)).items()}
+        assert {k: tuple(v) for k, v in market.by_key(checked).items()} == expected
+    assert spark.read.parquet(path).count() == 270
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+    with pytest.raises(AnalysisException):
+        with storage.bucketed(quotes, path, "Ticker", "Date"):
+            pass
+    with storage.bucketed(quotes.limit(3), path, "Ticker", "Date", mode="overwrite") as (saved, _):
+        assert saved.count() == 3
 
 
 def test_write_modes(spark, tmp_path):
@@ -146,6 +237,44 @@ def test_shared_table(spark, tmp_path):
     assert storage.fingerprint(again).collect() == shared.fingerprint.collect()
     with pytest.raises(AnalysisException):
         build_shared_table(spark, prices, details, out, settings)
+    before = shared.fingerprint.collect(), shared.audit.collect()
+    again = build_shared_table(spark, prices, details, out, replace(settings, mode="overwrite"))
+    assert (again.fingerprint.collect(), again.audit.collect()) == before
+
+
+@pytest.mark.parametrize(
+    "change, message",
+    [
+        (lambda rows: rows + rows[:2], "2 keys have several rows"),
+        (lambda rows: rows + [dict(rows[0], Volume=1.0)], "1 keys have several rows"),
+        (lambda rows: rows + [dict(rows[0], Date=None), dict(rows[1], Date=None), dict(rows[2], Date=None)], "1 keys have several rows"),
+        (lambda rows: rows + [dict(rows[0], Date=dt.date(2031, 1, 1))], "1 prices lie outside"),
+        (lambda rows: [dict(row, Ticker="OTHER") for row in rows], "No row has all nine features"),
+        (lambda rows: [row for row in rows if row["Date"] < dt.date.fromisoformat(DAYS[72])], "no rows.*validation.*test"),
+    ],
+)
+def test_shared_table_refuses(spark, tmp_path, change, message):
+    rows = change([dict(row, Date=dt.date.fromisoformat(row["Date"])) for row in market.rows()])
+    prices = market.frame(spark, rows, market.SCHEMA.replace("Date string", "Date date"))
+    details = spark.createDataFrame([("KAPPA", "a"), ("MU", "b"), ("XI", "c")], "Ticker string, Security string")
+    with pytest.raises(ValueError, match=message):
+        build_shared_table(spark, prices, details, str(tmp_path / "out"), Settings(DAYS[0], "2021-01-01", DAYS[74], DAYS[80]))
+
+
+def test_files_are_saved_once(spark, tmp_path):
+    pairs = [(row["Ticker"], name) for row in market.rows()[:: len(DAYS)] for name in QUOTE_COLUMNS]
+    by_day = {}
+    for row in market.rows():
+        by_day.setdefault(row["Date"], []).extend(str(row[name]) for name in QUOTE_COLUMNS)
+    lines = [["", *[t for t, _ in pairs]], ["", *[f for _, f in pairs]], *[[day, *cells] for day, cells in by_day.items()]]
+    (tmp_path / "wide.csv").write_text("\n".join(map(",".join, lines)) + "\n")
+    (tmp_path / "list.csv").write_text("Symbol,Security,GICS Sector,GICS Sub-Industry\nMU,m,x,y\nXI,i,x,y\nKAPPA,k,x,y\n")
+    settings = Settings(DAYS[0], "2021-01-01", DAYS[70], DAYS[80])
+    args = (spark, str(tmp_path / "list.csv"), str(tmp_path / "wide.csv"), str(tmp_path / "out"))
+    first = build_from_files(*args, settings).fingerprint.collect()
+    (tmp_path / "wide.csv").unlink()
+    second = build_from_files(*args, replace(settings, mode="overwrite"))
+    assert second.fingerprint.collect() == first and second.model.count() == 90
 
 
 def test_predictions_file(spark, tmp_path):
