@@ -176,4 +176,9 @@ def holds(condition: Column) -> Column:
 
 def session_return(c: Column, sessions: int, by_ticker: WindowSpec) -> Column:
     """Relative change over ``sessions`` rows; only the two end points must exist."""
-    return finite(F.try_divide(c, F.lag(c, sessions).over(by_ticker)) - F.lit(1.0))
+    return session_change(c, F.lag(c, sessions).over(by_ticker))
+
+
+def session_change(c: Column, before: Column) -> Column:
+    """Relative change of ``c`` since ``before``; missing if either is."""
+    return finite(F.try_divide(c, before) - F.lit(1.0))

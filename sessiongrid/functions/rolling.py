@@ -1,83 +1,101 @@
-"""Rolling means and deviations by doubling: a few lags per row, whatever the length of the window.
-
-A frame aggregate reads the whole frame again for each row. Here a window is put together from
-windows half as long: the moments of the last 2n rows are those of the last n rows merged with
-those of the n rows before, which a lag fetches. A length that is no power of two is a sum of
-such windows. Nothing is ever subtracted from a running total, so an early huge value leaves no
-error behind. For deviations the mean of a window is counted from its last row's value, so only
-differences of neighbouring values are added, and small moves of large numbers keep their digits.
-Windows that hold a missing value, or too few rows, are missing.
+"""Rolling means and deviations from blocks: a few lags per row, whatever the values are.
+
+A frame aggregate reads the whole frame again for each row. Here a window of n rows is put together
+from blocks of about sqrt(n) rows: lags lay the values of one block side by side, and further lags
+fetch the moments of the blocks before. So a row costs about 2 * sqrt(n) lags in two passes over
+the window instead of n updates of each aggregate.
+
+Nothing is ever subtracted from a running total, so an early huge value leaves no error behind. For
+deviations every mean is counted from the value of the window's last row, so only differences of
+neighbouring values are added, and small moves of large numbers keep their digits. Windows that
+hold a missing value, or too few rows, are missing.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from sessiongrid.schema import quoted
 
+# The value of a series so many rows before a row.
+Series = Callable[[int], Column]
+
 
-def _powers(rows: int) -> list[int]:
-    """``rows`` as a sum of powers of two, largest first."""
-    return [1 << k for k in reversed(range(rows.bit_length())) if rows >> k & 1]
+def series(column: str, window: WindowSpec) -> Series:
+    value = F.col(quoted(column))
+    return lambda rows: F.lag(value, rows).over(window) if rows else value
 
 
-def _merge(n: int, a: tuple[Column, Column], m: int, b: tuple[Column, Column]) -> tuple[Column, Column]:
-    """Mean, counted from one origin, and sum of squared deviations of n and m rows together."""
-    gap = b[0] - a[0]
-    return a[0] + gap * F.lit(m / (n + m)), a[1] + b[1] + gap * gap * F.lit(n * m / (n + m))
+def _total(terms: list[Column]) -> Column:
+    return reduce(add, terms)
+
+
+def _moments(parts: list[tuple[int, Column, Column]]) -> tuple[Column, Column]:
+    """Mean and sum of squared deviations of parts (rows, mean, squares) together."""
+    rows = sum(n for n, _, _ in parts)
+    mean = _total([m * F.lit(float(n)) for n, m, _ in parts]) / F.lit(float(rows))
+    return mean, _total([q for _, _, q in parts] + [(m - mean) * (m - mean) * F.lit(float(n)) for n, m, _ in parts])
 
 
 def add_rolling(
-    df: DataFrame, window: WindowSpec, *, means: dict[str, tuple[str, int]] | None = None, deviations: dict[str, tuple[str, int]] | None = None
+    df: DataFrame,
+    window: WindowSpec,
+    given: dict[str, Series],
+    *,
+    means: dict[str, tuple[str, int]] | None = None,
+    deviations: dict[str, tuple[str, int]] | None = None,
 ) -> DataFrame:
-    """Add means and sample deviations, each named and given as (column, number of rows), over the last rows of ``window``.
-
-    All of them share one pass of lags for each doubling.
-    """
+    """Add means and sample deviations, each named and given as (name in ``given``, number of rows)."""
     means, deviations = means or {}, deviations or {}
     kept = [*df.columns, *means, *deviations]
-    longest = max(rows for _, rows in [*means.values(), *deviations.values()])
-    summed = {column for column, _ in means.values()}
-    spread = {column for column, _ in deviations.values()}
-    name = lambda kind, column, n: f"_{kind}_{column}_{n}"
-    lag = lambda label, by: F.lag(quoted(label), by).over(window)
+    wanted = [*means.values(), *deviations.values()]
+    block = max(1, math.ceil(math.sqrt(max(rows for _, rows in wanted))))
+    col = lambda label: F.col(quoted(label))
+    at = lambda name, k: f"_{name}_{k}"
+    label = lambda kind, name, n: f"_{kind}_{name}_{n}"
+
+    # First pass: the values of a block side by side, then sums and moments of a block and of what is left over.
+    widths = {name: min(block, max(rows for own, rows in wanted if own == name)) for name in {own for own, _ in wanted}}
+    df = df.withColumns({at(name, k): given[name](k) for name, width in widths.items() for k in range(width)})
+    sizes = lambda chosen: {(name, n) for name, rows in chosen for n in (min(rows, block), rows % block) if n}
+    sums, spreads = sizes(means.values()), sizes(deviations.values())
+    gap = lambda name, k: col(at(name, k)) - col(at(name, 0))
     df = df.withColumns(
-        {name("sum", c, 1): F.col(quoted(c)) for c in summed}
-        | {name("mean", c, 1): F.col(quoted(c)) - F.col(quoted(c)) for c in spread}
-        | {name("square", c, 1): F.when(F.col(quoted(c)).isNotNull(), F.lit(0.0)) for c in spread}
+        {label("sum", name, n): _total([col(at(name, k)) for k in range(n)]) for name, n in sums}
+        | {label("mean", name, n): _total([gap(name, k) for k in range(n)]) / F.lit(float(n)) for name, n in spreads}
     )
-    col = lambda label: F.col(quoted(label))
+    deviation = lambda name, n, k: gap(name, k) - col(label("mean", name, n))
+    df = df.withColumns(
+        {label("square", name, n): _total([deviation(name, n, k) * deviation(name, n, k) for k in range(n)]) for name, n in spreads}
+    )
+
+    # Second pass: the blocks that make up each window.
+    def back(column: str, rows: int) -> Column:
+        return F.lag(col(column), rows).over(window) if rows else col(column)
 
+    def blocks(rows: int) -> list[tuple[int, int]]:
+        """(rows, how far back it ends) of each block of a window."""
+        if rows <= block:
+            return [(rows, 0)]
+        whole = [(block, k) for k in range(0, rows - rows % block, block)]
+        return whole + ([(rows % block, rows - rows % block)] if rows % block else [])
 
-    def earlier(c: str, rows: int, by: int) -> tuple[Column, Column]:
-        """Moments of the ``rows`` rows that end ``by`` rows before, their mean counted from this row's value."""
-        return lag(c, by) - col(c) + lag(name("mean", c, rows), by), lag(name("square", c, rows), by)
-
-    n = 1
-    while n <= longest:
-        # Doubled windows of 2n rows, and the finished windows whose largest part has n rows.
-        made: dict[str, Column] = {}
-        if 2 * n <= longest:
-            for c in summed:
-                made[name("sum", c, 2 * n)] = col(name("sum", c, n)) + lag(name("sum", c, n), n)
-            for c in spread:
-                own = (col(name("mean", c, n)), col(name("square", c, n)))
-                made[name("mean", c, 2 * n)], made[name("square", c, 2 * n)] = _merge(n, own, n, earlier(c, n, n))
-        for out, (c, rows) in means.items():
-            parts = _powers(rows)
-            if parts[0] == n:
-                total, at = col(name("sum", c, n)), n
-                for part in parts[1:]:
-                    total, at = total + lag(name("sum", c, part), at), at + part
-                made[out] = total / F.lit(float(rows))
-        for out, (c, rows) in deviations.items():
-            parts = _powers(rows)
-            if parts[0] == n:
-                moments, at = (col(name("mean", c, n)), col(name("square", c, n))), n
-                for part in parts[1:]:
-                    moments, at = _merge(at, moments, part, earlier(c, part, at)), at + part
-                made[out] = F.sqrt(moments[1] / F.lit(float(rows - 1)))
-        df = df.withColumns(made)
-        n *= 2
-    return df.select(*[quoted(label) for label in kept])
+    fetched: dict[str, Column] = {}
+    for name, rows in means.values():
+        fetched |= {f"{label('sum', name, n)}_{by}": back(label("sum", name, n), by) for n, by in blocks(rows)}
+    for name, rows in deviations.values():
+        for n, by in blocks(rows):
+            fetched[f"{label('mean', name, n)}_{by}"] = back(at(name, 0), by) - col(at(name, 0)) + back(label("mean", name, n), by)
+            fetched[f"{label('square', name, n)}_{by}"] = back(label("square", name, n), by)
+    df = df.withColumns(fetched)
+    made = {out: _total([col(f"{label('sum', name, n)}_{by}") for n, by in blocks(rows)]) / F.lit(float(rows)) for out, (name, rows) in means.items()}
+    for out, (name, rows) in deviations.items():
+        parts = [(n, col(f"{label('mean', name, n)}_{by}"), col(f"{label('square', name, n)}_{by}")) for n, by in blocks(rows)]
+        made[out] = F.sqrt(_moments(parts)[1] / F.lit(float(rows - 1)))
+    return df.withColumns(made).select(*[quoted(name) for name in kept])

@@ -6,11 +6,11 @@ window, so Spark partitions and orders the rows once for all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from sessiongrid.functions.columns import all_present, finite, session_return
-from sessiongrid.functions.rolling import add_rolling
+from sessiongrid.functions.columns import all_present, finite, session_change, session_return
+from sessiongrid.functions.rolling import add_rolling, series
 from sessiongrid.schema import FEATURES
 
 # Horizons of the momentum features and lengths of the rolling windows.
@@ -47,11 +47,19 @@ def add_rolling_features(panel: DataFrame) -> DataFrame:
 
 
 def _add_rolling_features(panel: DataFrame, *, volatility: bool = False, volume: bool = False) -> DataFrame:
+    by_ticker, close = _by_ticker(), F.col("Adj Close")
+
+    def earlier_return(rows: int) -> Column:
+        # From the closes themselves, so that it is found in the same pass as the returns.
+        before = F.lag(close, rows + 1).over(by_ticker)
+        return session_change(F.lag(close, rows).over(by_ticker) if rows else close, before)
+
     rolled = add_rolling(
         panel,
-        _by_ticker(),
-        means={"volume_ma20": ("Volume", VOLUME_WINDOW)} if volume else {},
-        deviations={name: ("ret_1d", rows) for name, rows in VOLATILITY_WINDOWS.items()} if volatility else {},
+        by_ticker,
+        {"return": earlier_return, "volume": series("Volume", by_ticker)},
+        means={"volume_ma20": ("volume", VOLUME_WINDOW)} if volume else {},
+        deviations={name: ("return", rows) for name, rows in VOLATILITY_WINDOWS.items()} if volatility else {},
     )
     made = {name: finite(F.col(name)) for name in VOLATILITY_WINDOWS} if volatility else {}
     if volume:

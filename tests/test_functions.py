@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from sessiongrid import add_date_splits, model_inputs, prepare_price_panel
 from sessiongrid.functions.columns import infer_date_format, normalize_ticker, to_finite_double, to_session_date
 from sessiongrid.functions.ranks import add_daily_rank, join_ranks
-from sessiongrid.functions.rolling import add_rolling
+from sessiongrid.functions.rolling import add_rolling, series
 from sessiongrid.operators.clean import check_quotes, clean_quotes, unusable_keys
 from sessiongrid.operators.details import check_details, clean_details, details_issues, join_details
 from sessiongrid.schema import pick_table, require_columns
@@ -155,7 +155,7 @@ def test_rolling_moments_equal_exact_sums(spark, shape):
     df = spark.createDataFrame([("A", i, v) for i, v in enumerate(line)] + [("B", i, 1.0) for i in range(3)], "k string, i int, v double")
     window = Window.partitionBy("k").orderBy("i")
     lengths = [1, 2, 5, 7, 20, 60]
-    made = add_rolling(df, window, means={f"m{n}": ("v", n) for n in lengths}, deviations={f"d{n}": ("v", n) for n in lengths if n > 1})
+    made = add_rolling(df, window, {"v": series("v", window)}, means={f"m{n}": ("v", n) for n in lengths}, deviations={f"d{n}": ("v", n) for n in lengths if n > 1})
     assert made.columns == ["k", "i", "v", *[f"m{n}" for n in lengths], *[f"d{n}" for n in lengths if n > 1]]
     for row in made.filter("k = 'A'").collect():
         for n in lengths:
