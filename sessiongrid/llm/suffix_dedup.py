@@ -85,39 +85,43 @@ def regions(text: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int
 # -- Suffix arrays -----------------------------------------------------------------------
 
 
-def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suffix_array(texts: list[bytes], depth: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted suffixes of all texts, each ending with its text; their places and text ends.
 
     Larsson-Sadakane: after sorting by the first 7 bytes, groups that are still equal are sorted
-    by the rank of what follows, which doubles the sorted prefix in each round. Suffixes that
-    are equal to their ends keep the order of their texts.
+    by the rank of what follows, which doubles the sorted prefix in each round. Group and
+    follower are one integer, so a round is one sort of the places that are still open. With
+    ``depth`` it ends once that many bytes are sorted. Suffixes equal so far are in any order.
     """
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     n = len(data)
-    end = np.repeat(np.cumsum(lengths), lengths)
-    place = np.arange(n)
+    kind = np.int32 if n < np.iinfo(np.int32).max else np.int64
+    end = np.repeat(np.cumsum(lengths).astype(kind), lengths)
+    place = np.arange(n, dtype=kind)
     key = np.zeros(n, dtype=np.uint64)
     padded = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.uint64)
     for k in range(7):
         inside = place + k < end
         key |= np.where(inside, padded[k : k + n] + np.uint64(1), np.uint64(0)) << np.uint64(9 * (6 - k))
-    sa = np.argsort(key, kind="stable")
-    head = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
-    del key
-    rank = np.empty(n, dtype=np.int64)
+    sa = np.argsort(key).astype(kind)
+    key = key[sa]
+    head = np.concatenate([[True], key[1:] != key[:-1]])
+    del key, padded
+    rank = np.empty(n, dtype=kind)
     rank[sa] = np.maximum.accumulate(np.where(head, place, 0))  # a group's rank is its first slot
     h, longest = 7, int(lengths.max(initial=0))
-    open_slots = np.flatnonzero(~head | ~np.append(head[1:], True))
+    longest = min(longest, depth or longest)
+    open_slots = np.flatnonzero(~head | ~np.append(head[1:], True)).astype(kind)
     while len(open_slots) and h < longest:
         own = sa[open_slots]
         after = own + h
         follow = np.where(after < end[own], rank[np.minimum(after, n - 1)] + 1, 0)
-        group = rank[own]
-        order = np.lexsort((follow, group))
-        own, group, follow = own[order], group[order], follow[order]
+        both = rank[own].astype(np.int64) * (n + 1) + follow
+        order = np.argsort(both)
+        own, both = own[order], both[order]
         sa[open_slots] = own
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])])
+        new = np.concatenate([[True], both[1:] != both[:-1]])
         rank[own] = open_slots[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
         open_slots = open_slots[~new | ~np.append(new[1:], True)]
         h *= 2
@@ -132,6 +136,7 @@ def common_prefixes(sa: np.ndarray, data: np.ndarray, end: np.ndarray) -> np.nda
     compared, all side by side, and the rest is counted down from them.
     """
     n = len(sa)
+    sa, end = sa.astype(np.int64), end.astype(np.int64)
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
     starts = np.concatenate([[True], end[1:] != end[:-1]]) if n else np.zeros(0, bool)
@@ -164,7 +169,7 @@ def common_prefixes(sa: np.ndarray, data: np.ndarray, end: np.ndarray) -> np.nda
 
 def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     """For each text, whether the ``length`` bytes at each start also start elsewhere in ``texts``."""
-    sa, data, end = suffix_array(texts)
+    sa, data, end = suffix_array(texts, length)
     shared = common_prefixes(sa, data, end) >= length
     found = np.zeros(len(data), dtype=bool)
     found[sa[shared]] = True
@@ -331,6 +336,8 @@ def remove_repeats(
     wanted = copies.filter("mixed").select("anchor", "digest", "at.*")
     found = whole.unionByName(_region_runs(base.select("k1", "k2", "text"), wanted, length))
 
+    # Repeated rows have the same places; each is listed once, so their lists do not grow with the repeats.
+    several = several.select("k1", "k2", "start", "n", "digest").distinct()
     spans = several.join(found, "digest").select("k1", "k2", F.struct("start", "n", "runs").alias("span"))
     spans = stage(spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans")), "spans")
 
