@@ -102,16 +102,14 @@ def probes_needed(dim: int, tables: int, second: int, seed: int) -> int:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec) without null, zero or non-finite vectors; of several lengths the most frequent takes part."""
+    """Distinct (id, vec) without null, zero or non-finite vectors."""
     vec = F.col(vector_col).cast("array<double>")
-    fine = vectors.select(F.col(id_col).alias("id"), vec.alias("vec")).filter(
+    return vectors.select(F.col(id_col).alias("id"), vec.alias("vec")).filter(
         F.col("id").isNotNull()
         & F.col("vec").isNotNull()
         & F.expr("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
         & F.expr("exists(vec, x -> x != 0)")
-    )
-    sizes = fine.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    return fine.filter(F.size("vec") == (sizes["dim"] if sizes else 0)).distinct()
+    ).distinct()
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -142,53 +140,56 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank (from 1), id and score of the ``k`` nearest found, the query's own id excluded.
 
+    A query is answered among the vectors of its own length; each length has tables of its own.
     Ties go to the smaller id, repeated rows count once. Vectors that ``usable`` rejects take no
     part on either side; without any the result is empty. Other columns are not read. At least
     ``probes`` buckets are searched in each table, more where ``probes_needed`` asks for them.
     """
     base = usable(vectors, id_col, vector_col)
     asked = usable(queries, id_col, vector_col)
-    first = base.select(F.size("vec").alias("dim")).first()
-    dim = first["dim"] if first else 1
-    asked = asked.filter(F.size("vec") == dim)
     same = Window.partitionBy("vec").orderBy("id")
     indexed = base.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k + 1).drop("_n")
     members = asked.groupBy("vec").agg(F.min("id").alias("query"))
-    padded = max(2, 1 << (dim - 1).bit_length())
-    total = base.count()
-    wanted = total / (2 * padded * mean_bucket)
-    second = 0 if wanted <= 2 else min(padded, 1 << max(0, math.ceil(math.log2(wanted)) - 1))
-    hasher = Hasher(dim, tables, second, seed)
-    probes = max(probes, probes_needed(dim, tables, second, seed))
-
-    def bucketed(n: int):
+    hashers: dict[int, tuple[Hasher, int]] = {}
+    for dim, total in base.groupBy(F.size("vec")).count().collect():  # one row for each length
+        padded = max(2, 1 << (dim - 1).bit_length())
+        wanted = total / (2 * padded * mean_bucket)
+        second = 0 if wanted <= 2 else min(padded, 1 << max(0, math.ceil(math.log2(wanted)) - 1))
+        hashers[dim] = Hasher(dim, tables, second, seed), max(probes, probes_needed(dim, tables, second, seed))
+
+    def bucketed(asking: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                step = max(1, min(512, 8192 // n))  # bounds the rows made at once
-                for lo in range(0, len(batch), step):
-                    own = batch.iloc[lo : lo + step]
-                    unit = _unit(_matrix(own["vec"]))
-                    for table in range(tables):
-                        found = hasher.probes(unit, table, n)
-                        row = np.repeat(np.arange(len(own)), found.shape[1])
-                        yield pd.DataFrame(
-                            {"id": own["id"].to_numpy()[row], "vec": own["vec"].to_numpy()[row], "table": table, "bucket": found.ravel()}
-                        )
+                for dim, every in batch.groupby(batch["vec"].map(len)):
+                    if dim not in hashers:
+                        continue
+                    hasher, n = hashers[dim][0], hashers[dim][1] if asking else 1
+                    step = max(1, min(512, 8192 // n))  # bounds the rows made at once
+                    for lo in range(0, len(every), step):
+                        own = every.iloc[lo : lo + step]
+                        unit = _unit(_matrix(own["vec"]))
+                        for table in range(tables):
+                            found = hasher.probes(unit, table, n)
+                            row = np.repeat(np.arange(len(own)), found.shape[1])
+                            yield pd.DataFrame(
+                                {"id": own["id"].to_numpy()[row], "vec": own["vec"].to_numpy()[row], "dim": dim, "table": table, "bucket": found.ravel()}
+                            )
 
         return run
 
     kind = base.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, vec array<double>, table int, bucket int"
-    held = indexed.mapInPandas(bucketed(1), schema)
-    sizes = held.groupBy("table", "bucket").count().filter(F.col("count") > ROWS_PER_PART).collect()
+    schema = f"id {kind}, vec array<double>, dim int, table int, bucket int"
+    places = ["dim", "table", "bucket"]
+    held = indexed.mapInPandas(bucketed(False), schema)
+    sizes = held.groupBy(*places).count().filter(F.col("count") > ROWS_PER_PART).collect()
     parts = F.lit(1)
     if sizes:  # at most one entry for each table and bucket
-        cut = F.create_map(*(F.lit(x) for r in sizes for x in (f"{r[0]} {r[1]}", math.ceil(r[2] / ROWS_PER_PART))))
-        parts = F.coalesce(cut[F.concat_ws(" ", "table", "bucket")], F.lit(1))
+        cut = F.create_map(*(F.lit(x) for r in sizes for x in (f"{r[0]} {r[1]} {r[2]}", math.ceil(r[3] / ROWS_PER_PART))))
+        parts = F.coalesce(cut[F.concat_ws(" ", *places)], F.lit(1))
     left = held.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("asks", F.lit(False))
     right = (
         members.select(F.col("query").alias("id"), "vec")
-        .mapInPandas(bucketed(probes), schema)
+        .mapInPandas(bucketed(True), schema)
         .withColumn("part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
         .withColumn("asks", F.lit(True))
     )
@@ -207,7 +208,7 @@ def nearest(
                         out.append((query, ids[j], cosine(q[lo + i], x[j])))
         return pd.DataFrame(out, columns=["query", "id", "score"])
 
-    found = left.unionByName(right).groupBy("table", "bucket", "part").applyInPandas(
+    found = left.unionByName(right).groupBy(*places, "part").applyInPandas(
         search, f"query {kind}, id {kind}, score double"
     )
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,37 @@ BITS = 1 << 24
 _PER_ROW = 1 << 15  # bits in one value of bitmap_construct_agg
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def releasing(function):
+    """``function`` of rows, or of batches, that does so when it is done with them.
+
+    Python workers live on for later tasks and keep what they once took; an executor has several.
+    """
+    if inspect.isgeneratorfunction(function):
+
+        def run(batches):
+            try:
+                yield from function(batches)
+            finally:
+                release()
+    else:
+
+        def run(rows):
+            try:
+                return function(rows)
+            finally:
+                release()
+
+    return run
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -37,6 +37,7 @@ _PART = re.compile(r"[a-z]+")
 # Fixed lists of HTML's element names by what they do to text.
 HIDDEN = {"script", "style", "template", "iframe", "svg", "head", "title", "textarea", "select", "canvas", "audio", "video"}
 RAW = {"script", "style", "textarea", "title", "iframe"}
+_RAW_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}  # what may stand in a head
 INLINE = {
@@ -113,7 +114,6 @@ def blocks(page: str) -> list[Block]:
         if n is not None and not {"noscript", "template"} & {t for t, _ in stack[n + 1 :]}:
             pop(n)
 
-    lower = None
     while m := _TOKEN.match(page, at):
         at = m.end()
         tag = m[2]
@@ -159,11 +159,8 @@ def blocks(page: str) -> list[Block]:
         if tag == "body":
             pop(0)  # an unclosed head ends here
         if tag in RAW:
-            lower = lower or page.lower()
-            end = lower.find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
-            if end >= 0:
-                at = page.find(">", end) + 1 or len(page)
+            end = _RAW_ENDS[tag].search(page, at)
+            at = page.find(">", end.start()) + 1 or len(page) if end else len(page)
             continue
         stack.append((tag, _themes(m[3]) if m[3] else frozenset()))
         hidden += tag in HIDDEN

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessiongrid.llm.common import keep_rows
+from sessiongrid.llm.common import keep_rows, releasing
 from sessiongrid.llm.components import components
 from sessiongrid.llm.shingles import digest, from_planes, shingle_sets, to_planes
 from sessiongrid.sources.storage import stage
@@ -88,6 +88,7 @@ def _pack(tokens: np.ndarray, owner: np.ndarray, names: np.ndarray, bits: int, r
 def _nodes(docs: DataFrame, width: int) -> DataFrame:
     """Size and identity of each document's set."""
 
+    @releasing
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [(len(s), digest(s)) for s in shingle_sets(batch["text"].tolist(), width)]
@@ -110,6 +111,7 @@ def _shared_counts(docs: DataFrame, width: int, total: int, sets: int) -> DataFr
     # Both kinds of rows fill all columns: a null would turn pandas' longs into doubles.
     columns = ["range", "steps", "owners", "names", "name", "shared"]
 
+    @releasing
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: list[np.ndarray] = []
         names: dict[int, int] = {}
@@ -141,6 +143,7 @@ def _shared_counts(docs: DataFrame, width: int, total: int, sets: int) -> DataFr
 
     packed = docs.mapInPandas(pack, "range long, steps binary, owners binary, names binary, name long, shared long")
 
+    @releasing
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         done = rows["shared"] > 0
         found, rows = [rows.loc[done, ["name", "shared"]].to_numpy(np.int64)], rows[~done]
@@ -186,6 +189,7 @@ def _name(node: str = "node"):
 def _rare_shingles(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
     """(token, node): the shingles by which a set has to meet any similar one, rarest first."""
 
+    @releasing
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
@@ -197,6 +201,7 @@ def _rare_shingles(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
                     columns=["range", "node", "n", "tokens"],
                 )
 
+    @releasing
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(t, dtype="<u8") for t in rows["tokens"]]
         every, inverse, found = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
@@ -212,6 +217,7 @@ def _rare_shingles(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
             }
         )
 
+    @releasing
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -300,6 +306,7 @@ def block_links(nodes: list[bytes], sets: list[np.ndarray], asks: np.ndarray, he
 def _search(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links found by ``tasks`` (task, node, asks, held)."""
 
+    @releasing
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.groupby("node", as_index=False).agg({"asks": "max", "held": "max", "tokens": "first"})
         found = block_links(
@@ -359,6 +366,7 @@ def jaccard_components(
         kinds.join(shared, "name").filter(F.col("shared") * 100 >= F.col("n") * percent).select("id", "node", "n"), "chosen"
     )
 
+    @releasing
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 1000):

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessiongrid.llm.common import releasing
+
 DOCS_PER_LANGUAGE = 3000
 PENALTY = 12.0
 SLICE_CHARS = 1_000_000
@@ -247,6 +249,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
     shared = docs.sparkSession.sparkContext.broadcast(model)
     width = docs.columns.index(text_col)
 
+    @releasing
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score, found = label_texts(shared.value, batch.column(width).to_pylist(), penalty, spans)
@@ -266,6 +269,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", penal
     shared = docs.sparkSession.sparkContext.broadcast(model)
     width = docs.columns.index(text_col)
 
+    @releasing
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = label_texts(shared.value, batch.column(width).to_pylist(), penalty, spans=False)[0]

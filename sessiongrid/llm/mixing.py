@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sessiongrid.llm.common import whole_row
 from sessiongrid.sources.storage import stage
 
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 5_000
 
 
 def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFrame:
@@ -58,14 +58,16 @@ def mix_sources(
     max_epochs: float = 2.0,
     seed: int = 0,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    mark_col: str | None = None,
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target and ``copies`` to take of it.
 
     ``sources`` has ``source_col``, source_size and target (see ``water_fill``); a null source is
-    a source like any other. Equal ids in one source share their place in the order. Documents
-    without words take no part in the sums. Empty input gives an empty result.
+    a source like any other. The order is a hash of the id and of ``mark_col``, which tells rows
+    of one id, or of none, apart (a hash of the text, say); rows equal in both share their place
+    in it. Documents without words take no part in the sums. Empty input gives an empty result.
     """
-    h = F.xxhash64(F.lit(seed), F.col("_id"))
+    h = F.xxhash64(F.lit(seed), F.col("_id"), F.col("_mark"))
     buckets = max(1, math.ceil(docs.count() / rows_per_bucket))
     plan = sources.select(
         F.col(source_col).alias("_source"),
@@ -77,7 +79,10 @@ def mix_sources(
         F.when(F.col("_whole") < max_epochs, F.col("target") - F.col("_whole") * F.col("source_size")).otherwise(0.0),
     )
     rows = docs.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(size_col).alias("_size")
+        F.col(id_col).alias("_id"),
+        F.col(source_col).alias("_source"),
+        F.col(size_col).alias("_size"),
+        (F.col(mark_col) if mark_col else F.lit(0)).alias("_mark"),
     ).withColumn("_bucket", F.pmod(h, F.lit(buckets)))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
@@ -94,7 +99,7 @@ def mix_sources(
     ).withColumnRenamed("_bucket", "_b")
     placed = rows.join(cuts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     some = F.col("_state") == "some"
-    inside = Window.partitionBy("_source", "_bucket").orderBy(h, "_id", "_size").rowsBetween(
+    inside = Window.partitionBy("_source", "_bucket").orderBy(h, "_id", "_mark", "_size").rowsBetween(
         Window.unboundedPreceding, -1
     )
     start = F.col("_base") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
@@ -107,6 +112,7 @@ def mix_sources(
         "source_size",
         "target",
         (F.col("_whole") + F.col("_taken")).alias("copies"),
+        *([F.col("_mark").alias(mark_col)] if mark_col else []),
     )
 
 
@@ -118,9 +124,18 @@ def source_sizes(docs: DataFrame, source_col: str = "source", size_col: str = "s
 def repeat_rows(docs: DataFrame, copies: DataFrame, key: dict[str, Column], count_col: str = "copies") -> DataFrame:
     """``docs``, each row as often as ``copies`` says for its key: column of ``copies`` to expression.
 
-    Nulls equal each other; rows without copies go. The columns stay as they are.
+    ``copies`` has a row for each row of ``docs``. Rows of one key are taken to be equal: together they are
+    repeated as often as their counts add up to, shared out evenly. Nulls equal each other; rows
+    without copies go. The columns stay as they are.
     """
-    counts = copies.groupBy(*key).agg(F.max(count_col).cast("int").alias("copies")).filter("copies > 0")
+    counts = copies.groupBy(*key).agg(F.sum(count_col).alias("_sum"), F.count("*").alias("_rows")).filter("_sum > 0")
+    even = (F.col("_sum") / F.col("_rows")).cast("long")
+    counts = counts.select(*key, even.alias("_each"), (F.col("_sum") - even * F.col("_rows")).alias("_more"))
     rows = docs.select(whole_row(docs), *(e.alias(f"of_{c}") for c, e in key.items()))
     same = [F.col(f"of_{c}").eqNullSafe(F.col(c)) for c in key]
-    return rows.join(counts, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    joined = rows.join(counts, same)
+    # Only where the counts of equal rows differ are these numbered: in each source at most one key.
+    in_key = Window.partitionBy(*(f"of_{c}" for c in key)).orderBy(F.lit(0))
+    uneven = joined.filter("_more > 0").withColumn("_each", F.col("_each") + (F.row_number().over(in_key) <= F.col("_more")).cast("long"))
+    every = joined.filter("_more = 0").select("row", "_each").unionByName(uneven.select("row", "_each")).filter("_each > 0")
+    return every.select("row", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))).select("row.*")

@@ -23,8 +23,8 @@ from sessiongrid.sources.storage import scratch_path, stage
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """Id, source and number of words, written once: texts are read a single time."""
-    return stage(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
+    """Id, source, number of words and a hash of the text, written once: texts are read a single time."""
+    return stage(docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("mark")), "sizes")
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sized(read_table(spark, sf_dir, "documents"))
-    mixed = mix_sources(docs, weighted_sources(docs))
+    mixed = mix_sources(docs, weighted_sources(docs), mark_col="mark")
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies"
     )

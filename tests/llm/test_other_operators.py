@@ -136,6 +136,37 @@ def test_mixing_meets_its_targets(spark):
     assert repeated.columns == docs.columns and repeated.count() == sum(r.copies for r in mixed)
 
 
+def test_rows_without_an_id_are_repeated_one_by_one(spark):
+    """Rows of one size and no id, told apart by their text; the mix stays within half a document of its targets."""
+    rows = [(None, "a" if k % 3 else "b", 40, k, f"t{k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long, mark long, text string")
+    sources = source_sizes(docs).withColumn("weight", F.when(F.col("source") == "a", 1).otherwise(2))
+    filled = water_fill(sources, 3000.0, 2.0)
+    copies = mix_sources(docs, filled, mark_col="mark", rows_per_bucket=10)
+    key = {c: F.col(c) for c in ("doc_id", "source", "mark")}
+    taken = {r.source: r.n * 40 for r in repeat_rows(docs, copies, key).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    targets = {r.source: r.target for r in filled.collect()}
+    assert all(abs(taken[s] - targets[s]) <= 20 for s in targets)
+    # Equal rows share their copies evenly.
+    equal = spark.createDataFrame([(None, "a", 40, 1, "t")] * 7, docs.schema)
+    mine = mix_sources(equal, spark.createDataFrame([("a", 280, 400.0)], "source string, source_size long, target double"), mark_col="mark")
+    assert repeat_rows(equal, mine, key).count() == sum(r.copies for r in mine.collect()) == 10
+
+
+def test_vectors_of_several_lengths(spark):
+    """Each query is answered among the vectors of its own length, however many others there are."""
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=3 if k % 4 == 0 else 5).tolist()) for k in range(240)] + [(300, [1.0] * 7)]
+    every = vectors(spark, rows)
+    found = ann.nearest(every, every.filter("vec_id % 50 = 0"), k=5, probes=64).collect()
+    by = {k: np.array(v) for k, v in rows}
+    for query in (0, 50, 100, 150, 200):
+        others = [k for k, v in by.items() if k != query and len(v) == len(by[query])]
+        exact = sorted(others, key=lambda k: (-ann.cosine(by[query], by[k]), k))[:5]
+        assert [r.vec_id for r in sorted((r for r in found if r.query_id == query), key=lambda r: r["rank"])] == exact
+    assert not [r for r in found if r.query_id == 300]
+
+
 def test_mixing_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, size long")
     sources = water_fill(source_sizes(docs).withColumn("weight", F.lit(1)), 0.0, 2.0)
@@ -293,6 +324,11 @@ def test_blocks_of_broken_markup():
     assert html_text.blocks("") == [] and html_text.blocks("<p>  </p><!-- open") == []
 
 
+def test_letters_that_grow_in_lower_case_lose_no_text():
+    page = "<p>" + "İ" * 12 + " one</p><script>var x = '<p>no</p>';</SCRIPT><p>two</p><style>p {}</Style ><p>three</p>"
+    assert [b.text for b in html_text.blocks(page)] == ["İ" * 12 + " one", "two", "three"]
+
+
 def test_pages_with_nulls_and_clashing_columns(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Title here</h1><p>First sentence of it.<p>Second one, too.</article><div class='comments'><p>Nice words, thanks.</p></div><footer>&copy; x</footer>"
     rows = [(1, page, "u", "t"), (1, page, "u", "t"), (2, None, "u", "t"), (3, "", None, "t"), (4, "<nav>x</nav>" * 5, "u", "t")]
