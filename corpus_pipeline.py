@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessiongrid.llm.common import drop_rows, read_table, word_count
+from sessiongrid.llm.common import drop_rows, read_table
 from sessiongrid.llm.exact_dedup import keep_first
 from sessiongrid.llm.jaccard_join import jaccard_components
 from sessiongrid.llm.langid import held_out, keep_identified, train
@@ -55,10 +55,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: 0 to 2 times."""
+    """Documents as often as the mix takes them: 0 to 2 times. Rows are told apart by id, source and text."""
     sizes = sized(docs)
-    copies = mix_sources(sizes, weighted_sources(sizes))
-    return repeat_rows(docs, copies, {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": word_count("text")})
+    copies = mix_sources(sizes, weighted_sources(sizes), mark_col="mark")
+    return repeat_rows(docs, copies, {"doc_id": F.col("doc_id"), "source": F.col("source"), "mark": F.xxhash64("text")})
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
