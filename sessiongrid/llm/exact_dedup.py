@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessiongrid.llm.common import BITS, SPACE, drop_rows, flag, key_bitmap, whole_row
+from sessiongrid.llm.common import BITS, SPACE, drop_rows, flag, join_unique, key_bitmap, whole_row
 from sessiongrid.sources.storage import stage
 
 PREFIX = 256
@@ -62,7 +62,7 @@ def exact_dedup(
     single = counted.filter(~F.col("_shared")).select(
         "*", F.col("_id").alias("keep_id"), F.col("_rows").alias("group_size")
     )
-    grouped = counted.filter("_shared").join(groups, same)
+    grouped = join_unique(counted.filter("_shared"), groups, same)  # copies of one text may be many
     turn = F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int")))
     return (
         grouped.select(single.columns)
