@@ -88,10 +88,11 @@ def regions(text: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int
 def suffix_array(texts: list[bytes], depth: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted suffixes of all texts, each ending with its text; their places and text ends.
 
-    Larsson-Sadakane: after sorting by the first 7 bytes, groups that are still equal are sorted
+    Larsson-Sadakane: after sorting by the first 8 bytes, groups that are still equal are sorted
     by the rank of what follows, which doubles the sorted prefix in each round. Group and
     follower are one integer, so a round is one sort of the places that are still open. With
-    ``depth`` it ends once that many bytes are sorted. Suffixes equal so far are in any order.
+    ``depth`` only suffixes of that many bytes or more are given, in the order of these bytes, and the
+    last two rounds sort no others than these need. Suffixes equal so far are in any order.
     """
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -99,22 +100,33 @@ def suffix_array(texts: list[bytes], depth: int | None = None) -> tuple[np.ndarr
     kind = np.int32 if n < np.iinfo(np.int32).max else np.int64
     end = np.repeat(np.cumsum(lengths).astype(kind), lengths)
     place = np.arange(n, dtype=kind)
-    key = np.zeros(n, dtype=np.uint64)
-    padded = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.uint64)
-    for k in range(7):
-        inside = place + k < end
-        key |= np.where(inside, padded[k : k + n] + np.uint64(1), np.uint64(0)) << np.uint64(9 * (6 - k))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    key = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
+    # Bytes beyond a text's end count as zero; a text that goes on with zeros is told apart by what follows.
+    short = np.flatnonzero(end - place < 8)
+    gone = (8 - (end[short] - place[short])).astype(np.uint64) * np.uint64(8)
+    key[short] = key[short] >> gone << gone
     sa = np.argsort(key).astype(kind)
     key = key[sa]
-    head = np.concatenate([[True], key[1:] != key[:-1]])
+    head = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.zeros(0, bool)
     del key, padded
     rank = np.empty(n, dtype=kind)
-    rank[sa] = np.maximum.accumulate(np.where(head, place, 0))  # a group's rank is its first slot
-    h, longest = 7, int(lengths.max(initial=0))
+    rank[sa] = np.maximum.accumulate(np.where(head, place, 0)) if n else place  # a group's rank is its first slot
+    h, longest = 8, int(lengths.max(initial=0))
     longest = min(longest, depth or longest)
     open_slots = np.flatnonzero(~head | ~np.append(head[1:], True)).astype(kind)
     while len(open_slots) and h < longest:
         own = sa[open_slots]
+        if depth and 4 * h >= depth:
+            # Starts of ``depth`` bytes, and what lies 2h, 4h ... behind them as far as they reach.
+            size = end[own] - np.repeat(np.cumsum(lengths) - lengths, lengths).astype(kind)[own]
+            at, starts = size - (end[own] - own), size - depth
+            needed = np.zeros(len(own), dtype=bool)
+            for back in range(0, depth, 2 * h):
+                needed |= (at >= back) & (at - back <= starts)
+            open_slots, own = open_slots[needed], own[needed]
+            if not len(own):
+                break
         after = own + h
         follow = np.where(after < end[own], rank[np.minimum(after, n - 1)] + 1, 0)
         both = rank[own].astype(np.int64) * (n + 1) + follow
@@ -125,17 +137,19 @@ def suffix_array(texts: list[bytes], depth: int | None = None) -> tuple[np.ndarr
         rank[own] = open_slots[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
         open_slots = open_slots[~new | ~np.append(new[1:], True)]
         h *= 2
+    if depth:
+        sa = sa[end[sa] - sa >= depth]
     return sa, data, end
 
 
 def common_prefixes(sa: np.ndarray, data: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Bytes that each sorted suffix shares with the one before it.
+    """Bytes that each suffix in ``sa`` shares with the one before it.
 
     Kasai's rule: going one byte on in the text loses at most one byte of the common prefix. It
     loses exactly one where the bytes before both suffixes are equal, so only the others are
     compared, all side by side, and the rest is counted down from them.
     """
-    n = len(sa)
+    n = len(data)
     sa, end = sa.astype(np.int64), end.astype(np.int64)
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
@@ -162,7 +176,7 @@ def common_prefixes(sa: np.ndarray, data: np.ndarray, end: np.ndarray) -> np.nda
     # Count down from the last compared place.
     source = np.maximum.accumulate(np.where(kept, -1, place))
     common = np.where(kept, common[source] - (place - source), common)
-    out = np.zeros(n, dtype=np.int64)
+    out = np.zeros(len(sa), dtype=np.int64)
     out[1:] = common[sa[1:]]
     return out
 

@@ -280,7 +280,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
 
 
 def lookup_tokens(spark: SparkSession, path: str, ids: list) -> DataFrame:
-    """Ids of a few documents: only their blocks are read and only their own frames decompressed."""
+    """Ids of a few documents: the id lists of all blocks are read, but only the documents' own frames are decompressed."""
     blocks, name, data = _load(spark, path)
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     wanted = set(ids)
