@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -464,6 +465,71 @@ def test_pipeline_stages(spark, tmp_path):
         assert spark.read.parquet(path).count() == 0
 
 
+def plain_stages(rows):
+    """Ids left by each filter, and the words of each source, by plain loops over (id, text, source)."""
+    words = lambda t: re.findall(r"[^ \x09-\x0D]+", t or "")
+    lettered = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    first = {}
+    for doc, text, source in sorted(lettered):
+        first.setdefault(re.sub(r"[ \x09-\x0D]+", " ", text), (doc, text, source))
+    unique = list(first.values())
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for doc, text, _ in unique:
+        own = words(text.translate(lower))
+        sets[doc] = {tuple(own[i : i + 5]) for i in range(max(len(own) - 4, 1))}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    single = [r for r in unique if find(r[0]) == r[0]]
+    sizes = Counter()
+    for _, text, source in single:
+        sizes[source] += len(words(text))
+    return [{r[0] for r in kept} for kept in (lettered, unique, single)], sizes, {r[0]: (r[2], len(words(r[1]))) for r in single}
+
+
+@needs_tables
+def test_pipeline_run_against_plain_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    extra = [(10_000, None, "en", "src1", 0), (10_001, "12 34", None, None, 5), (10_002, docs.first().text, "en", "src2", 1)]
+    docs.unionByName(spark.createDataFrame(extra, docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()]
+    survivors, sizes, single = plain_stages(rows)
+    assert len(survivors[0]) > len(survivors[1]) > len(survivors[2])
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    targets = brute_targets(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(sizes.values()), 2)
+    placed, bins = Counter(), defaultdict(list)
+    for r in packed:
+        placed[r.doc_id] += r.n_words
+        if r.n_words:
+            bins[r.block, r.bin].append((r.offset, r.n_words, r.capacity))
+    taken = Counter()
+    assert set(placed) <= survivors[2]
+    for doc, words in placed.items():
+        source, size = single[doc]
+        assert size == 0 or words % size == 0 and words // size in (1, 2)
+        taken[source] += words
+    largest = {s: max(n for own, n in single.values() if own == s) for s in sizes}
+    assert all(abs(taken[s] - targets[s]) <= largest[s] / 2 for s in sizes)
+    for pieces in bins.values():
+        at = 0
+        for offset, n, capacity in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= capacity
+
+
 def test_near_copies_are_judged_row_by_row(spark):
     import corpus_pipeline
 
