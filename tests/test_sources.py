@@ -261,6 +261,13 @@ def test_shared_table_refuses(spark, tmp_path, change, message):
         build_shared_table(spark, prices, details, str(tmp_path / "out"), Settings(DAYS[0], "2021-01-01", DAYS[74], DAYS[80]))
 
 
+def test_shared_table_of_nothing(spark, tmp_path):
+    prices = market.frame(spark, [], market.SCHEMA.replace("Date string", "Date date"))
+    details = spark.createDataFrame([("MU", "b")], "Ticker string, Security string")
+    with pytest.raises(ValueError, match="the table is empty"):
+        build_shared_table(spark, prices, details, str(tmp_path / "out"), Settings(DAYS[0], "2021-01-01", DAYS[74], DAYS[80]))
+
+
 def test_files_are_saved_once(spark, tmp_path):
     pairs = [(row["Ticker"], name) for row in market.rows()[:: len(DAYS)] for name in QUOTE_COLUMNS]
     by_day = {}
