@@ -62,7 +62,7 @@ def key_bitmap(keys: DataFrame, columns: list[str], bits: int = BITS) -> DataFra
     """One bit per hash of ``columns``: at most ``bits`` / 2**15 rows of 4 KiB, whatever the input.
 
     It only thins out rows before an exact join. With many more keys than bits every bit is
-    set, nothing is thinned out, and results stay the same.
+    set, nothing is thinned out, and results stay the same; pass more bits for some ten million keys.
     """
     place = F.pmod(F.xxhash64(*columns), F.lit(bits))
     return (

@@ -82,8 +82,10 @@ def shuffle_shards(
 ) -> DataFrame:
     """Add ``shard`` (0 to ``shards`` - 1, sizes at most one apart) and ``slot`` (gapless from 0 in it).
 
-    Rows are placed by all their columns; rows equal in all of them may trade places. Null ids are ordinary values. An empty table gives an empty result. Pass
-    narrow rows: whole ones are moved twice.
+    Rows are placed by all their columns; rows equal in all of them may trade places. Null ids are
+    ordinary values. An empty table gives an empty result. Pass narrow rows: whole ones are moved
+    twice. The driver draws the matrix: one count for each ``rows_per_block`` rows and shard, some
+    seconds and megabytes for 10**10 rows; raise ``rows_per_block`` beyond that.
     """
     columns = rows.columns
 
