@@ -99,16 +99,25 @@ def to_session_date(c: Column, dtype: T.DataType, fmt: str | None = None) -> Col
     return _once(to_day(c, dtype, fmt), lambda day: F.when(in_calendar(day), day))
 
 
+def _distinct_texts(df: DataFrame, column: str) -> DataFrame:
+    """(text, times): the texts of a column, each once, trimmed and not blank, with their numbers of rows."""
+    each = df.groupBy(F.col(quoted(column)).alias("given")).agg(F.count("*").alias("times"))
+    # A generator, so that the filter stays above the grouping and no text is made twice.
+    trimmed = F.explode(F.array(F.trim("given", F.lit(WHITESPACE)))).alias("text")
+    return each.select(trimmed, "times").filter("text <> ''")
+
+
 def date_format_report(df: DataFrame, column: str = "Date", formats: Sequence[str] = tuple(DATE_FORMATS)) -> DataFrame:
     """(format, rows, fits): how many rows that are not blank there are, and how many of them each format reads.
 
-    One pass, whatever the number of formats; only days inside the calendar count.
+    One pass, whatever the number of formats; only days inside the calendar count. Equal texts are counted
+    first, inside each input task too, so each is read once: a text that a format does not read is slow to try.
     """
-    text = F.trim(F.col(quoted(column)), F.lit(WHITESPACE))
-    given = df.select(text.alias("text")).filter("text <> ''")
+    given = _distinct_texts(df, column)
     reads = {ISO: _text_to_day(F.col("text"))} | {fmt: F.try_to_date("text", fmt) for fmt in formats}
+    rows_where = lambda fits: F.coalesce(F.sum(F.when(fits, F.col("times"))), F.lit(0))
     counts = given.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(in_calendar(day)).alias(f"fits_{i}") for i, day in enumerate(reads.values())]
+        rows_where(F.lit(True)).alias("rows"), *[rows_where(in_calendar(day)).alias(f"fits_{i}") for i, day in enumerate(reads.values())]
     )
     each = F.array(*[F.struct(F.lit(fmt).alias("format"), F.col("rows").alias("rows"), F.col(f"fits_{i}").alias("fits")) for i, fmt in enumerate(reads)])
     return counts.select(F.inline(each))
@@ -128,10 +137,9 @@ def infer_date_format(df: DataFrame, column: str = "Date", formats: Sequence[str
     if not fitting or fitting[0] == ISO:
         return None
     if len(fitting) > 1:
-        text = F.trim(F.col(quoted(column)), F.lit(WHITESPACE))
-        days = [F.try_to_date(text, fmt) for fmt in fitting]
+        days = [F.try_to_date("text", fmt) for fmt in fitting]
         differ = reduce(or_, [~day.eqNullSafe(days[0]) for day in days[1:]])
-        if not df.filter(differ).limit(1).isEmpty():
+        if not _distinct_texts(df, column).filter(differ).limit(1).isEmpty():
             raise ValueError(f"{column} can be read in several ways: {fitting}. Name one of them.")
     return fitting[0]
 

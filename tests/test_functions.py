@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessiongrid import add_date_splits, model_inputs, prepare_price_panel
-from sessiongrid.functions.columns import infer_date_format, normalize_ticker, to_finite_double, to_session_date
+from sessiongrid.functions.columns import date_format_report, infer_date_format, normalize_ticker, to_finite_double, to_session_date
 from sessiongrid.functions.ranks import add_daily_rank, join_ranks
 from sessiongrid.functions.rolling import add_rolling, series
 from sessiongrid.operators.clean import check_quotes, clean_quotes, unusable_keys
@@ -186,6 +186,18 @@ def test_one_format_for_a_column(spark):
     assert infer_date_format(spark.createDataFrame([(dt.date(2021, 1, 1),)], "Date date")) is None
 
 
+def test_equal_texts_are_read_once(spark):
+    """Formats are tried above the grouping of equal texts, and rows are counted all the same."""
+    texts = ["6/5/2021"] * 3 + [" 6/5/2021 "] * 2 + ["13/5/2021", " ", None, "soon"]
+    report = date_format_report(spark.createDataFrame([(t,) for t in texts], "Date string"))
+    found = {row["format"]: (row["rows"], row["fits"]) for row in report.collect()}
+    assert found["M/d/yyyy"] == (7, 5) and found["d/M/yyyy"] == (7, 6) and found["iso"] == (7, 0)
+    above, grouping, below = report._jdf.queryExecution().optimizedPlan().toString().partition("Aggregate [Date")
+    assert grouping and "gettimestamp" in above and "gettimestamp" not in below and "Filter" not in below
+    empty = date_format_report(spark.createDataFrame([], "Date string")).collect()
+    assert {(row["rows"], row["fits"]) for row in empty} == {(0, 0)}
+
+
 def test_inferred_dates_reach_the_panel(spark):
     data = [dict(row, Date=dt.date.fromisoformat(row["Date"]).strftime("%d.%m.%Y")) for row in market.rows()]
     panel = prepare_price_panel(market.frame(spark, data), date_format="infer", validate=False).panel
