@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from registry import feeds
 from registry.feeds import TRAIN_END, VALIDATION_END
-from sessiongrid.functions.columns import INFER, date_format_report, normalize_ticker, to_finite_double, to_session_date
+from sessiongrid.functions.columns import INFER, computed_once, date_format_report, normalize_ticker, to_finite_double, to_session_date
 from sessiongrid.operators.clean import clean_quotes, conflicting_keys, drop_invalid_keys, normalize_quotes, unusable_keys
 from sessiongrid.operators.dataset import (
     add_date_splits,
@@ -143,11 +143,9 @@ def normalize_keys(spark, sf):
         .when(form == 3, "   ")
         .otherwise(F.concat(F.lit("S-"), number))
     )
-    texts = feeds.table(spark, sf, "lineitem").groupBy(text.alias("day"), ticker.alias("name")).count()
-    keys = texts.select(
-        to_session_date(F.col("day"), T.StringType()).alias("Date"), normalize_ticker(F.col("name")).alias("Ticker"), "count"
-    )
-    return drop_invalid_keys(keys).groupBy("Date", "Ticker").agg(F.sum("count").alias("rows"))
+    texts = feeds.table(spark, sf, "lineitem").select(text.alias("day"), ticker.alias("name"))
+    keys = texts.select(to_session_date(F.col("day"), T.StringType()).alias("Date"), normalize_ticker(F.col("name")).alias("Ticker"))
+    return drop_invalid_keys(computed_once(keys, "Date", "Ticker")).groupBy("Date", "Ticker").agg(F.count("*").alias("rows"))
 
 
 def date_formats(spark, sf):

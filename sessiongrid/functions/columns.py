@@ -26,8 +26,10 @@ WHITESPACE = (
 # Names of time zones do not match, so such text is missing.
 _DAY_TIME_OFFSET = (
     r"^\s*(\d{4})(?:([-/])(\d{1,2})\2(\d{1,2})|(\d{2})(\d{2}))"
-    r"(?:[T\s]\s*(?:(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(?:Z|([+-]\d{1,2})(?::?(\d{2}))?)?)?)?\s*$"
+    r"(?:[T\s]\s*(?:(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(?:Z|([+-])(\d{1,2})(?::?(\d{2}))?)?)?)?\s*$"
 )
+# The day and time, the hours and the minutes of the offset. $80 is group 8 and a zero, as there is no group 80.
+_THREE_PARTS = "$1-$3$5-$4$6 $7|$80$9|$80$10"
 # The other ways to write a day that a whole column may share, as Spark patterns.
 DATE_FORMATS = [
     "M/d/yyyy",
@@ -52,22 +54,13 @@ def _utc_date(instant: Column) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / F.lit(86400.0)).cast("int"))
 
 
-def _once(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _text_to_day(c: Column) -> Column:
-    def day(parts: Column) -> Column:
-        at = lambda i: F.get(parts, F.lit(i))
-        hours, minutes = (F.coalesce(at(i).try_cast("int"), F.lit(0)) for i in (1, 2))
-        shift = hours * 60 + F.when(at(1).startswith("-"), -minutes).otherwise(minutes)
-        local = F.trim(at(0)).try_cast("timestamp_ntz")
-        return F.when(F.size(parts) == 3, (local - F.make_dt_interval(mins=shift)).cast("date"))
-
-    # Text that does not match keeps its form, which has no bars and so is not cut in three.
-    parts = F.split(F.regexp_replace(c, _DAY_TIME_OFFSET, r"$1-$3$5-$4$6 $7|$8|$9"), r"\|", -1)
-    return F.when(~c.contains("|"), _once(parts, day))
+    # Text that does not match keeps its form, without bars, so that it has no second part and gives NULL.
+    # No condition and no lambda: Spark then compiles all of it and computes the parts once.
+    parts = F.split(F.regexp_replace(F.translate(c, "|", "?"), _DAY_TIME_OFFSET, _THREE_PARTS), r"\|", -1)
+    day_time, hours, minutes = (F.get(parts, F.lit(i)) for i in range(3))
+    shift = hours.try_cast("int") * 60 + minutes.try_cast("int")
+    return (F.trim(day_time).try_cast("timestamp_ntz") - F.make_dt_interval(mins=shift)).cast("date")
 
 
 def to_day(c: Column, dtype: T.DataType, fmt: str | None = None) -> Column:
@@ -96,15 +89,15 @@ def to_session_date(c: Column, dtype: T.DataType, fmt: str | None = None) -> Col
     ``fmt`` gives another pattern. Without an offset it is taken as UTC. Days outside the
     calendar are NULL.
     """
-    return _once(to_day(c, dtype, fmt), lambda day: F.when(in_calendar(day), day))
+    day = to_day(c, dtype, fmt)
+    return F.when(in_calendar(day), day)
 
 
 def _distinct_texts(df: DataFrame, column: str) -> DataFrame:
     """(text, times): the texts of a column, each once, trimmed and not blank, with their numbers of rows."""
     each = df.groupBy(F.col(quoted(column)).alias("given")).agg(F.count("*").alias("times"))
-    # A generator, so that the filter stays above the grouping and no text is made twice.
-    trimmed = F.explode(F.array(F.trim("given", F.lit(WHITESPACE)))).alias("text")
-    return each.select(trimmed, "times").filter("text <> ''")
+    trimmed = each.select(F.trim("given", F.lit(WHITESPACE)).alias("text"), "times")
+    return computed_once(trimmed, "text").filter("text <> ''")
 
 
 def date_format_report(df: DataFrame, column: str = "Date", formats: Sequence[str] = tuple(DATE_FORMATS)) -> DataFrame:
@@ -150,6 +143,17 @@ def normalize_ticker(c: Column, upper: bool = True) -> Column:
     return F.replace(F.upper(text) if upper else text, F.lit("."), F.lit("-"))
 
 
+def computed_once(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` whose columns ``names`` are computed once for each row, although rows are later filtered by them.
+
+    They come out of a generator. Spark moves filters on other columns to where rows are read, and computes the column
+    there and again above; it moves none below a generator.
+    """
+    held = F.inline(F.array(F.struct(*[F.col(quoted(name)) for name in names])))
+    others = [quoted(name) for name in df.columns if name not in names]
+    return df.select(held, *others).select(*[quoted(name) for name in df.columns])
+
+
 def finite(c: Column) -> Column:
     """NULL for NaN and infinities."""
     return F.when(F.abs(c) < F.lit(float("inf")), c)

@@ -6,9 +6,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessiongrid.functions.columns import (
     INFER,
+    computed_once,
     finite,
     in_calendar,
     infer_date_format,
@@ -36,6 +38,8 @@ def normalize_quotes(raw: DataFrame, *, date_format: str | None = None) -> DataF
         normalize_ticker(F.col("Ticker")).alias("Ticker"),
         *[to_double(F.col(quoted(name)), types[name]).alias(name) for name in QUOTE_COLUMNS],
     )
+    if isinstance(types["Date"], T.StringType):
+        typed = computed_once(typed, "Date", "Ticker")  # text is slow to read
     # A projection of its own, so that text is parsed once although the check uses it twice.
     return typed.select("Date", "Ticker", *[finite(F.col(quoted(name))).alias(name) for name in QUOTE_COLUMNS])
 

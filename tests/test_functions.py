@@ -72,6 +72,18 @@ def test_date_text(spark):
         to_session_date(F.lit(1), T.LongType())
 
 
+def test_text_keys_are_read_once(spark):
+    """Neither a filter on the keys nor a lambda makes Spark read a text a second time or without compiled code."""
+    rows = [("2021-05-06 23:30-5", " s.1 "), ("2021-05-06|1|2", "S.1"), ("2021-05-06", "  "), ("later", None), (None, "S.1")]
+    raw = spark.createDataFrame(rows, "Date string, Ticker string")
+    raw = raw.select("*", *[F.lit(1.0).alias(name) for name in ("Open", "High", "Low", "Close", "Adj Close", "Volume")])
+    quotes = clean_quotes(raw)
+    assert [(row["Date"], row["Ticker"]) for row in quotes.collect()] == [(dt.date(2021, 5, 7), "S-1")]
+    plan = quotes._jdf.queryExecution().optimizedPlan().toString()
+    reading = [line for line in plan.splitlines() if "regexp_replace" in line]
+    assert len(reading) == 1 and "Project" in reading[0] and "lambda" not in reading[0]
+
+
 def test_ticker_text(spark):
     cases = {" brk.b ": "BRK-B", "\tbf.b\n": "BF-B", " x ": "X", "a b": "A B", "": "", " ": "", None: None, "straße": "STRASSE"}
     assert one_column(spark, normalize_ticker, list(cases)) == list(cases.values())
