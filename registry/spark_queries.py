@@ -100,11 +100,17 @@ def _splits(spark, sf):
     return add_date_splits(_dataset(spark, sf), TRAIN_END, VALIDATION_END, validate=False)
 
 
-def _test_rows(spark, sf, feed=feeds.bars):
-    panel = public_panel(checked_panel(clean_quotes(feed(spark, sf))))
+def _evaluated(spark, sf, feed=feeds.bars):
+    """Raw quotes and the test rows made from them, both written, because every evaluation reads them several times."""
+    raw = stage(feed(spark, sf), "raw")
+    panel = public_panel(checked_panel(clean_quotes(raw)))
     dataset = make_model_dataset(panel, labeled_only=False, scratch=scratch_path(spark, "kept"))
-    # Written, because every evaluation reads it several times.
-    return stage(split_rows(add_date_splits(dataset, TRAIN_END, VALIDATION_END, validate=False), "test", labeled=False), "test")
+    splits = add_date_splits(dataset, TRAIN_END, VALIDATION_END, validate=False)
+    return raw, stage(split_rows(splits, "test", labeled=False), "test")
+
+
+def _test_rows(spark, sf):
+    return _evaluated(spark, sf)[1]
 
 
 # --- cleaning -------------------------------------------------------------------------
@@ -503,9 +509,9 @@ def top10_selection(spark, sf):
 
 
 def _dirty_trades(spark, sf):
-    quotes = clean_quotes(feeds.dirty(spark, sf))
-    top = select_top(feeds.predictions(_test_rows(spark, sf, feeds.dirty)))
-    return trades(top, session_calendar(quotes), quotes)
+    raw, eligible = _evaluated(spark, sf, feeds.dirty)
+    quotes = clean_quotes(raw)
+    return trades(select_top(feeds.predictions(eligible)), session_calendar(quotes), quotes)
 
 
 def top10_trades(spark, sf):
@@ -517,17 +523,19 @@ def top10_daily(spark, sf):
 
 
 def benchmark_daily(spark, sf):
-    quotes = _quotes(spark, sf)
-    chosen = benchmark_selection(_test_rows(spark, sf))
+    raw, eligible = _evaluated(spark, sf)
+    quotes, chosen = clean_quotes(raw), benchmark_selection(eligible)
     return rounded(daily_returns(trades(chosen, session_calendar(quotes), quotes)), "gross", "net")
 
 
 def left_out_dates(spark, sf):
-    return uncovered_dates(_test_rows(spark, sf), session_calendar(_quotes(spark, sf)))
+    raw, eligible = _evaluated(spark, sf)
+    return uncovered_dates(eligible, session_calendar(clean_quotes(raw)))
 
 
 def metrics(spark, sf):
-    quotes, eligible = _quotes(spark, sf), _test_rows(spark, sf)
+    raw, eligible = _evaluated(spark, sf)
+    quotes = clean_quotes(raw)
     chosen = select_top(feeds.predictions(eligible)).select(F.lit(MODEL).alias("Portfolio"), "Date", "Ticker", "weight")
     market = benchmark_selection(eligible).select(F.lit(BENCHMARK).alias("Portfolio"), "Date", "Ticker", "weight")
     daily = daily_returns(trades(chosen.unionByName(market), session_calendar(quotes), quotes))
@@ -535,11 +543,11 @@ def metrics(spark, sf):
 
 
 def backtest_results(spark, sf):
-    eligible = _test_rows(spark, sf)
+    raw, eligible = _evaluated(spark, sf)
     predictions = feeds.predictions(eligible)
     stray = predictions.withColumn("Ticker", F.lit("S-X"))  # not eligible, so never traded
     done = backtest(
-        predictions.unionByName(stray), feeds.bars(spark, sf), eligible, validate=False, scratch=scratch_path(spark, "pairs")
+        predictions.unionByName(stray), raw, eligible, validate=False, scratch=scratch_path(spark, "backtest")
     )
     values = ("cumulative_gross", "cumulative_net", "sharpe", "max_drawdown", "mean_score")
     return rounded(done.results, *values)
@@ -547,9 +555,9 @@ def backtest_results(spark, sf):
 
 def _saved_backtest(spark, sf):
     """A backtest with unresolved trades, saved as files."""
-    eligible = _test_rows(spark, sf, feeds.dirty)
+    raw, eligible = _evaluated(spark, sf, feeds.dirty)
     path = scratch_path(spark, "results")
-    done = backtest(feeds.predictions(eligible), feeds.dirty(spark, sf), eligible, validate=False, scratch=scratch_path(spark, "pairs"))
+    done = backtest(feeds.predictions(eligible), raw, eligible, validate=False, scratch=scratch_path(spark, "backtest"))
     write_backtest(done, path)
     return done, lambda name: spark.read.option("header", True).schema(getattr(done, name).schema).csv(f"{path}/{name}")
 

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessiongrid.operators.clean import check_quotes, clean_quotes
+from sessiongrid.operators.clean import check_quotes, clean_quotes, drop_invalid_keys, normalize_quotes
 from sessiongrid.operators.dataset import split_rows
 from sessiongrid.operators.grid import session_calendar
 from sessiongrid.operators.portfolio import (
@@ -80,7 +80,10 @@ def backtest(
     written dataset, as several results read it.
     ``validate`` raises unless the submission covers exactly the eligible rows and the quotes
     hold no conflict. Without it predictions for other keys are left out, and a conflict fails
-    the query that meets it. ``scratch`` is handed to ``daily_spearman``.
+    the query that meets it. With ``scratch``, a new path in shared storage that the caller removes
+    when done, the calendar, the trades and the scored pairs are written below it once, so the quotes
+    are evaluated twice for all results (dates, trades), and such a conflict fails this call;
+    without it every result evaluates them for itself.
     """
     eligible = split_rows(dataset, split, labeled=False)
     quotes = clean_quotes(raw_quotes)
@@ -88,18 +91,27 @@ def backtest(
         check_submission(predictions, eligible)
         check_quotes(quotes)
     predictions = predictions.join(eligible.select("Date", "Ticker"), ["Date", "Ticker"], "left_semi")
-    calendar = session_calendar(quotes)
+    # Copies do not change the dates, so these need no grouping of whole quotes.
+    calendar = session_calendar(drop_invalid_keys(normalize_quotes(raw_quotes)))
 
+    def once(table: DataFrame, name: str) -> DataFrame:
+        if scratch is None:
+            return table
+        write_table(table, f"{scratch}/{name}")
+        return table.sparkSession.read.parquet(f"{scratch}/{name}")
+
+    calendar = once(calendar, "calendar")
     top = select_top(predictions, k)
     chosen = top.select(F.lit(MODEL).alias("Portfolio"), "Date", "Ticker", "weight").unionByName(
         benchmark_selection(eligible).select(F.lit(BENCHMARK).alias("Portfolio"), "Date", "Ticker", "weight")
     )
     # One join of both selections with the quotes, so that these are shuffled once.
-    traded = trades(chosen, calendar, quotes, cost)
+    traded = once(trades(chosen, calendar, quotes, cost), "trades")
     daily = complete_days(daily_returns(traded), calendar, eligible)
 
     left_out = uncovered_dates(eligible, calendar)
-    scores = spearman_summary(daily_spearman(predictions, eligible, scratch=scratch))
+    pairs = None if scratch is None else f"{scratch}/pairs"
+    scores = spearman_summary(daily_spearman(predictions, eligible, scratch=pairs))
     of_model = F.col("Portfolio") == MODEL
     results = portfolio_metrics(daily).select(
         "*",

@@ -220,6 +220,18 @@ def test_backtest_without_checks(market_days):
         backtest(predictions, twice, dataset, validate=False).daily.collect()
 
 
+def test_quotes_are_evaluated_once_for_all_results(spark, market_days, tmp_path):
+    """With a scratch path no result reads the quotes again, and all are the same as without it."""
+    predictions, quotes, dataset = market_days
+    quotes.write.parquet(str(tmp_path / "quotes"))
+    given = predictions, spark.read.parquet(str(tmp_path / "quotes")), dataset
+    plain, once = backtest(*given), backtest(*given, scratch=str(tmp_path / "scratch"))
+    for name in ("daily", "results", "trades", "uncovered"):
+        plan = getattr(once, name)._jdf.queryExecution().executedPlan().toString()
+        assert f"{tmp_path}/quotes" not in plan and f"{tmp_path}/quotes" in getattr(plain, name)._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, getattr(plain, name).collect())) == sorted(map(str, getattr(once, name).collect()))
+
+
 def test_backtest_results_can_be_written(spark, market_days, tmp_path):
     result = backtest(*market_days)
     for format in ("csv", "parquet"):
