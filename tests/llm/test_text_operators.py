@@ -181,6 +181,29 @@ def test_repeats_against_brute_force(spark, monkeypatch, shard):
     assert Counter((r[0], r[1], tuple(map(tuple, r[2])), bytes(r[3])) for r in found) == expected
 
 
+def test_planted_passages_around_the_length(spark, tmp_path):
+    """Over 50 words: 399 equal bytes stay, 400 go, also where only the last byte of a character is equal."""
+    from sessiongrid.llm.queries import op9_suffix_dedup
+
+    rng = random.Random(9)
+
+    def prose(size):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(size // 6 + 1))[: size - 1] + "z"
+
+    short, exact, inside = prose(399), prose(400), prose(399)
+    assert min(len(p.split()) for p in (short, exact, inside)) > 50
+    clean = prose(900)
+    texts = [f"1{short}2", f"3{short}4", f"é{exact}é", f"5{exact}6", f"xé{inside}7", f"xũ{inside}8", clean, "é" * 150 + clean[:300], None]
+    gone = {2: exact.encode(), 3: exact.encode(), 4: "é".encode()[1:] + inside.encode(), 5: "ũ".encode()[1:] + inside.encode()}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = set()
+    for k, text in enumerate(texts):
+        raw, cut = (text or "").encode(), gone.get(k, b"")
+        left = raw.replace(cut, b"") if cut else raw
+        expected.add((k, len(raw), len(cut), int(bool(cut)), hashlib.sha256(left).hexdigest()))
+    assert set(map(tuple, op9_suffix_dedup(spark, str(tmp_path)).collect())) == expected
+
+
 def test_repeats_without_rows(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
